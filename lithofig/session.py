@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": memory,
         "spark.driver.host": "127.0.0.1",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
