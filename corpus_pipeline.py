@@ -1,0 +1,79 @@
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing and token output.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every one but the last returns the
+columns of its documents. ``run`` writes each stage's rows as Parquet to the shared folder and
+gives them to the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithofig.llm.decontaminate import find_leaks
+from lithofig.llm.jaccard_join import jaccard_join
+from lithofig.llm.mixing import mix_sources
+from lithofig.llm.quality_crf import fit_line_field, score_quality
+from lithofig.llm.shared import materialize
+from lithofig.llm.token_records import token_records
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+END_ID = 1
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field predicts to be good. It is fitted on all labels at hand."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = fit_line_field(docs, labels)
+    return score_quality(docs, field, keep_text=True).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the Jaccard join links: the one with the least id.
+
+    Documents without an id stay. Of rows that repeat an id one stays.
+    """
+    groups = jaccard_join(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    return known.union(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a leaked benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_leaks(docs, benchmark, keep_text=True).where("not contaminated").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*[docs[c] for c in docs.columns], "copies")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token records of the mix, as they are read back."""
+    import public_tokenizers
+
+    return token_records(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID output", token_output),
+]
+
+#: The field, the retrieval and the vocabulary are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; the last one's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithofig.llm.decontaminate import find_leaks
+from lithofig.llm.jaccard_join import jaccard_join
 from lithofig.llm.language_id import fit_language_model, identify_language
 from lithofig.llm.mixing import mix_sources
 from lithofig.llm.quality_crf import fit_line_field, score_quality
@@ -61,6 +63,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = F.coalesce(F.pmod(id_text("doc_id"), F.lit(5)) == 0, F.lit(False))
@@ -74,9 +80,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_records, op2_vector_dedup, op3_url_rules, op4_language_id, op5_secret_scan, op6_mixing, op8_quality, op9_token_counts)
+    for f in (op1_token_records, op2_vector_dedup, op3_url_rules, op4_language_id, op5_secret_scan, op6_mixing, op7_jaccard_join, op8_quality, op9_token_counts, op10_decontaminate)
 }
 
 #: Every pair of equal labels: right, and for small tables only.
