@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lithofig.llm.shared import materialize
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node still has two roots, or is a root and has one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    at = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not at.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,8 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     links = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     now = materialize(links)
-    seen = _signature(now)
-    while seen[0]:
+    while _unsettled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,8 +34,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        last, seen = seen, _signature(now)
-        if last == seen:
-            break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

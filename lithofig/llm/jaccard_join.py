@@ -6,12 +6,17 @@
    is replicated to the regions of all these pivots, and to no other.
 2. Regions above a bound are split again: their pivots move to the end of the order, which is a
    finer one for just the sets they hold, and these choose new pivots. Any order is exact.
-3. In each region a document becomes the pivot, and its distance to every member is computed once
-   from the whole sets. Members within t are linked. A few rounds take further pivots in regions
-   that still hold several components.
-4. What is left is compared pair by pair, but only between different components, within the
-   window of sizes, and where the distances to the region's pivot differ by t at most, as the
-   triangle inequality demands.
+   Regions that stay above the bound and have their least member (by hash) in common, as those of
+   one group of copies mostly do, become one region.
+3. In each region a few documents become pivots, and their distances to the members are computed
+   from the whole sets. Members within t are linked.
+   Pairs first meet in a coarser metric space: counts of the shingles by the buckets of a hash.
+   The L1 distance there is at most the symmetric difference of the sets, so a pair beyond its
+   bound can't link, and only the others' texts are read again.
+4. In regions that still hold several components the other members are compared, but only between
+   different components, within the window of sizes, and where the distances to the region's
+   first pivot differ by t at most, as the triangle inequality demands. Very large regions meet in
+   pairs of blocks.
 
 Equal sets are one node throughout.
 """
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithofig.llm.components import connected_components
-from lithofig.llm.shared import materialize, shared_folder, words_of
+from lithofig.llm.shared import in_slices, materialize, shared_folder, words_of
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -39,10 +44,15 @@ ORDER_SAMPLE = 8000
 FREQUENT_IN_SAMPLE, FREQUENT_MOST = 3, 1_000_000
 #: Sets in a region before it is split, and how often that is tried.
 REGION, SPLITS = 64, 2
-PIVOT_ROUNDS = 2
+#: Pivots of a region.
+PIVOTS = 4
+#: Members of a block when a region's members are compared.
+BLOCK = 4096
 #: Pairs of one pivot that are verified in one run.
 RUN = 64
 BROADCAST_IDS = 2_000_000
+#: Buckets of the coarse space.
+BUCKETS = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,11 +81,10 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
         if end - begin >= words:
             out.append(np.unique(rolled[begin:end - words + 1]))
         elif end > begin:
-            one = np.uint64(end - begin)
             short = np.zeros(1, np.uint64)
             for k in range(begin, end):
                 short = short * _MIX + flat[k]
-            out.append(_mixed(short ^ (_MIX * one)))
+            out.append(_mixed(short ^ _mixed(np.full(1, end - begin, np.uint64))))
         else:
             out.append(flat[:0])
     return out
@@ -93,6 +102,11 @@ def prefix_of(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT
     return rare[:wanted] if len(rare) >= wanted else np.concatenate([rare, shingles[late][:wanted - len(rare)]])
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each bucket, as uint16 (the bucket's size stays below that for texts up to ten million words)."""
+    return np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype("<u2").tobytes()
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -103,7 +117,7 @@ def _frequent_in_sample(docs: DataFrame, n_docs: int, words: int, sample: int) -
 
     def emit(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             for shingles in shingle_sets(batch.column(1), words):
                 key = xxhash.xxh3_64_intdigest(shingles.tobytes())
                 if key not in seen and len(shingles):
@@ -135,7 +149,7 @@ def _node_table(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
 
     def emit(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             sets = shingle_sets(batch.column(1), words)
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
             pivots = []
@@ -144,9 +158,9 @@ def _node_table(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
                 seen.add(node)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in pivots])]).astype(np.int32)
             flat = _signed(np.concatenate(pivots)) if pivots else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(nodes), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "n_shingles", "node", "pivots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(nodes), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([sketch_of(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node", "pivots", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, node long, pivots array<long>")
+    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, node long, pivots array<long>, sketch binary")
 
 
 def _regions(placed: DataFrame, bound: int) -> DataFrame:
@@ -212,6 +226,91 @@ def _regions(placed: DataFrame, bound: int) -> DataFrame:
     return ordered.mapInArrow(sweep, "region long, node long, n long, hot boolean")
 
 
+def _sketches(ends: DataFrame, table: DataFrame) -> DataFrame:
+    return table.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32)
+
+
+def _near_in_sketch(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out."""
+    known = materialize(_sketches(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), table))
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(known.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _rows_of(batch.column(2)), _rows_of(batch.column(3))
+                # |x ^ y| <= (1 - j) / (1 + j) * (|x| + |y|) for Jaccard similarity j
+                keep = (100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * (x.sum(1) + y.sum(1))
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "s", "t").mapInArrow(near, "a long, b long")
+
+
+def _within_regions(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a region that steps 3 and 4 leave, from (region, node, n, root, d, sketch)."""
+    counts = placed.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(counts, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "root", "d", "sketch")
+
+    def compare(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        node, n, root, block = (rows.column(c).to_numpy() for c in ("node", "n", "root", "block"))
+        d = rows.column("d").to_numpy()
+        sketch = _rows_of(rows.column("sketch"))
+        apart = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
+        for begin in range(0, len(node), 128):
+            i = slice(begin, begin + 128)
+            meet = (root[i, None] != root) & (node[i, None] < node) & (100 * np.minimum(n[i, None], n) >= percent * np.maximum(n[i, None], n))
+            meet &= ~(np.abs(d[i, None] - d) > 1 - percent / 100 + 1e-9)  # an unknown distance rules nothing out
+            if apart:
+                meet &= block[i, None] != block
+            x, y = np.nonzero(meet)
+            x += begin
+            for at in range(0, len(x), 20_000):
+                u, v = x[at:at + 20_000], y[at:at + 20_000]
+                keep = (100 + percent) * np.abs(sketch[u] - sketch[v]).sum(1) <= (100 - percent) * (n[u] + n[v])
+                yield from zip(node[u[keep]].tolist(), node[v[keep]].tolist(), strict=True)
+
+    def sweep(batches):
+        held: list[pa.RecordBatch] = []
+        known: set[tuple[int, int]] = set()
+
+        def closed(upto: pa.Table):
+            keys = upto.select(["region", "p", "q"])
+            cols = [keys.column(c).to_numpy() for c in ("region", "p", "q")]
+            new = np.ones(len(upto), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            starts = np.flatnonzero(new)
+            out = []
+            for begin, end in zip(starts, np.append(starts[1:], len(upto)), strict=True):
+                for pair in compare(upto.slice(begin, end - begin)):
+                    if pair not in known:
+                        known.add(pair)
+                        out.append(pair)
+            if len(known) > 300_000:
+                known.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+        for batch in in_slices(batches, 8):
+            key = [batch.column(c)[-1].as_py() for c in range(3)]
+            same = np.all([batch.column(c).to_numpy() == k for c, k in enumerate(key)], axis=0)
+            cut = int(np.argmax(same))
+            if cut or held and [held[-1].column(c)[-1].as_py() for c in range(3)] != key:
+                yield from closed(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from closed(pa.Table.from_batches(held))
+
+    ordered = dealt.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
+    return ordered.mapInArrow(sweep, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(a, b, inter, united) for every pair of nodes, from the whole sets of both.
 
@@ -225,9 +324,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     def compare(batches):
         head, current = (None, None), np.zeros(0, np.uint64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_slices(batches, 4):
             sets = shingle_sets(batch.column(4), words)
             a, run, turn, b = (batch.column(i).to_pylist() for i in range(4))
             out = []
@@ -248,6 +345,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, b long, inter long, united long")
 
 
+def _checked(pairs: DataFrame, table: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int, sifted: bool = False) -> DataFrame:
+    """Exact intersections and unions of the pairs that sketches leave."""
+    pairs = materialize(pairs)
+    if not sifted:
+        pairs = materialize(_near_in_sketch(pairs, table, percent))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return materialize(_verified(pairs, materialize(_texts_of(ends, nodes, docs, words)), words))
+
+
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", order_sample: int = ORDER_SAMPLE, region: int = REGION) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -273,46 +379,35 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id
         again = _texts_of(hot.select("node").distinct(), nodes, plain, words)
         fresh = _node_table(again.select(F.col("node").alias("doc_id"), "text"), frequent, words, percent)
         found = materialize(_regions(fresh.select(F.explode("pivots").alias("pivot"), "node", F.col("n_shingles").alias("n")), region))
-    parts.append(found)
+    if parts:
+        hot = found.where("hot")
+        least = hot.groupBy("region").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).select("region", F.col("p.node").alias("name"))
+        parts.append(hot.join(least, "region").select(F.col("name").alias("region"), "node", "n", "hot"))
+    parts.append(found.where("not hot") if parts else found)
     members = parts[0]
     for part in parts[1:]:
         members = members.union(part)
     members = materialize(members.select("region", "node", "n").distinct())
-    texts = materialize(_texts_of(members.select("node").distinct(), nodes, plain, words))
-
-    checked = links = labels = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        now = members
-        if labels is not None:
-            named = now.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            ends = named.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-            now = materialize(named.join(ends, "region"))
-        else:
-            now = now.withColumn("root", F.col("node"))
-        if turn < PIVOT_ROUNDS:
-            pivots = now.groupBy("region").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("root"))).alias("p"))
-            near = now.join(pivots, "region").where(F.col("node") != F.col("p.node"))
-            if turn:  # only between components, and of sizes that can link
-                near = near.where(F.col("root") != F.col("p.root"))
-            pairs = near.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            first = members.groupBy("region").agg(F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("h"), F.col("node"))).alias("p")).select("region", F.col("p.node").alias("a"))
-            away = checked.select("a", F.col("b").alias("node"), (1 - F.col("inter") / F.col("united")).alias("d"))
-            placed = now.join(first, "region").join(away, ["a", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("a"), 0.0).otherwise(F.col("d")))
-            placed = materialize(placed.select("region", "node", "n", "root", "d"))
-            x, y = placed.alias("x"), placed.alias("y")
-            pairs = x.join(y, "region").where(
-                (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.root") != F.col("y.root")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
-                & (F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9)))
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        if checked is not None:
-            done = checked.select("a", "b")
-            done = done.union(done.select("b", "a"))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        more = materialize(_verified(materialize(pairs), texts, words))
-        checked = more if checked is None else checked.union(more)
-        links = checked.where(F.col("inter") * 100 >= percent * F.col("united")).select("a", "b")
-        labels = materialize(connected_components(links))
+
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = members.groupBy("region").agg(*least)
+    pivots = materialize(pivots.select("region", F.array(*[F.struct(F.col(f"p{k}.node").alias("a"), F.col(f"p{k}.n").alias("m")) for k in range(PIVOTS)]).alias("p")))
+    near = members.join(pivots, "region").select("node", "n", F.explode(F.array_distinct("p")).alias("p")).select("node", "n", "p.*")
+    near = near.where((F.col("node") != F.col("a")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    first = _checked(near.select("a", F.col("node").alias("b")).distinct(), table, nodes, plain, percent, words)
+    linked = F.col("inter") * 100 >= percent * F.col("united")
+    labels = materialize(connected_components(first.where(linked)))
+
+    named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
+    away = first.select("a", F.col("b").alias("node"), (1 - F.col("inter") / F.col("united")).alias("d"))
+    placed = named.join(several, "region").join(pivots.select("region", F.get("p", F.lit(0))["a"].alias("a")), "region").join(away, ["a", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("a"), 0.0).otherwise(F.col("d")))
+    placed = materialize(placed.select("region", "node", "n", "root", "d"))
+    seen = materialize(_sketches(placed.select("node").distinct(), table))
+    rest = _within_regions(placed.join(seen, "node"), percent).distinct()
+    done = first.select("a", "b").union(first.select("b", "a"))
+    second = _checked(rest.join(done, ["a", "b"], "left_anti"), table, nodes, plain, percent, words, sifted=True)
+    labels = materialize(connected_components(first.where(linked).union(second.where(linked))))
 
     classes = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
@@ -332,7 +427,7 @@ def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     rows = docs.join(ids, F.col("doc_id") == F.col("rep")).select("node", "text")
 
     def own(batches):  # an id that stands at several texts brings them all
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             fits = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in shingle_sets(batch.column(1), words)], np.uint64).view(np.int64)
             yield batch.filter(pc.equal(batch.column(0), pa.array(fits)))
 

@@ -57,6 +57,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_slices(batches, column: int, most: int = 4 << 20):
+    """Record batches cut so that the text of each has about ``most`` bytes, or is one row.
+
+    Bounds what a Python worker holds, whatever the length of texts.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            # copied, as some string kernels misread arrays that begin within their buffers
+            parts = [pa.concat_arrays([c.slice(0, 0), c.slice(begin, end - begin)]) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(parts, schema=batch.schema)
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words (runs without ASCII white space) of a batch of texts; null counts as empty.
 
