@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithofig.llm.shared import sums_between, words_of
+from lithofig.llm.shared import in_slices, sums_between, words_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: The model is fitted on at most so many labelled rows for each language, those with the least id hashes.
@@ -157,7 +157,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: st
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ("," if others else "") + " lang_pred string, score double"
 
     def predict(batches):
-        for batch in batches:
+        for batch in in_slices(batches, len(others), 8 << 20):
             texts = batch.column(batch.num_columns - 1)
             if shared.value is None:
                 names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithofig.llm.shared import open_store, ragged, shared_folder, words_of
+from lithofig.llm.shared import in_slices, open_store, ragged, shared_folder, words_of
 
 MAGIC = b"LITHOREC"
 MASK_DELTA = 0xA282EAD8
@@ -139,9 +139,7 @@ def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: i
         name, own = f"{base}/shard-{shard:07d}", f"{base}/.{uuid.uuid4().hex}"
         kind, records, tokens, at, index = f"<u{enc.width}", 0, 0, 0, []
         sink = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_slices(batches, 1, 16 << 20):
             if sink is None:
                 sink = store.open_output_stream(own)
                 sink.write(MAGIC + bytes([enc.width]))
