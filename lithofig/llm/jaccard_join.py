@@ -51,8 +51,8 @@ BLOCK = 4096
 #: Pairs of one pivot that are verified in one run.
 RUN = 64
 BROADCAST_IDS = 2_000_000
-#: Buckets of the coarse space.
-BUCKETS = 256
+#: Buckets of the coarse space, those of sets of more than LARGE shingles (as 16 each), and LARGE.
+BUCKETS, FINE_BUCKETS, LARGE = 256, 4096, 1500
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,8 +103,22 @@ def prefix_of(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
-    """How many shingles fall in each bucket, as uint16 (the bucket's size stays below that for texts up to ten million words)."""
-    return np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype("<u2").tobytes()
+    """How many shingles fall in each bucket of their leading bits, as uint16."""
+    bits = 12 if len(shingles) > LARGE else 8
+    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
+def _coarse(sketches: list[bytes]) -> np.ndarray:
+    rows = [np.frombuffer(b, "<u2").astype(np.int32) for b in sketches]
+    return np.stack([r if len(r) == BUCKETS else r.reshape(BUCKETS, -1).sum(1) for r in rows])
+
+
+def _may_link(s: bytes, t: bytes, percent: int) -> bool:
+    """Whether |x ^ y| <= (1 - j) / (1 + j) * (|x| + |y|) can hold, in the finest buckets that both sketches have."""
+    x, y = np.frombuffer(s, "<u2").astype(np.int64), np.frombuffer(t, "<u2").astype(np.int64)
+    if len(x) != len(y):
+        x, y = x.reshape(BUCKETS, -1).sum(1), y.reshape(BUCKETS, -1).sum(1)
+    return (100 + percent) * int(np.abs(x - y).sum()) <= (100 - percent) * int(x.sum() + y.sum())
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -230,22 +244,15 @@ def _sketches(ends: DataFrame, table: DataFrame) -> DataFrame:
     return table.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _rows_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32)
-
-
 def _near_in_sketch(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches don't rule a link out."""
     known = materialize(_sketches(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), table))
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(known.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
 
     def near(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = _rows_of(batch.column(2)), _rows_of(batch.column(3))
-                # |x ^ y| <= (1 - j) / (1 + j) * (|x| + |y|) for Jaccard similarity j
-                keep = (100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * (x.sum(1) + y.sum(1))
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for batch in in_slices(batches, 2):
+            keep = [_may_link(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "s", "t").mapInArrow(near, "a long, b long")
 
@@ -260,7 +267,8 @@ def _within_regions(placed: DataFrame, percent: int) -> DataFrame:
     def compare(rows: pa.Table) -> Iterator[tuple[int, int]]:
         node, n, root, block = (rows.column(c).to_numpy() for c in ("node", "n", "root", "block"))
         d = rows.column("d").to_numpy()
-        sketch = _rows_of(rows.column("sketch"))
+        whole = rows.column("sketch").to_pylist()
+        sketch = _coarse(whole)
         apart = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
         for begin in range(0, len(node), 128):
             i = slice(begin, begin + 128)
@@ -273,7 +281,9 @@ def _within_regions(placed: DataFrame, percent: int) -> DataFrame:
             for at in range(0, len(x), 20_000):
                 u, v = x[at:at + 20_000], y[at:at + 20_000]
                 keep = (100 + percent) * np.abs(sketch[u] - sketch[v]).sum(1) <= (100 - percent) * (n[u] + n[v])
-                yield from zip(node[u[keep]].tolist(), node[v[keep]].tolist(), strict=True)
+                for k, m in zip(u[keep].tolist(), v[keep].tolist(), strict=True):
+                    if n[k] <= LARGE or n[m] <= LARGE or _may_link(whole[k], whole[m], percent):
+                        yield int(node[k]), int(node[m])
 
     def sweep(batches):
         held: list[pa.RecordBatch] = []
