@@ -157,7 +157,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: st
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ("," if others else "") + " lang_pred string, score double"
 
     def predict(batches):
-        for batch in in_slices(batches, len(others), 8 << 20):
+        for batch in in_slices(batches, len(others), 4 << 20):
             texts = batch.column(batch.num_columns - 1)
             if shared.value is None:
                 names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)

@@ -200,7 +200,7 @@ def score_quality(docs: DataFrame, field: LineField | None, text_col: str = "tex
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ("," if others else "") + " score double, predicted int"
 
     def score(batches):
-        for batch in in_slices(batches, len(others), 8 << 20):
+        for batch in in_slices(batches, len(others), 4 << 20):
             texts = batch.column(batch.num_columns - 1)
             value = shared.value.score(texts) if shared.value is not None and batch.num_rows else np.full(batch.num_rows, 0.5)
             columns = [*batch.columns[:-1], pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[str] = []
+_libc = ctypes.CDLL(None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +59,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers live on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def in_slices(batches, column: int, most: int = 4 << 20):
     """Record batches cut so that the text of each has about ``most`` bytes, or is one row.
 
@@ -72,6 +81,8 @@ def in_slices(batches, column: int, most: int = 4 << 20):
             # copied, as some string kernels misread arrays that begin within their buffers
             parts = [pa.concat_arrays([c.slice(0, 0), c.slice(begin, end - begin)]) for c in batch.columns]
             yield pa.RecordBatch.from_arrays(parts, schema=batch.schema)
+            del parts
+            give_back()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -99,8 +110,9 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     total = int(lengths.sum())
     if not total:
         return values[:0]
-    ends = np.cumsum(lengths)
-    at = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    kind = np.int32 if total < 1 << 31 and len(values) < 1 << 31 else np.int64
+    at = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
     return values[at]
 
 

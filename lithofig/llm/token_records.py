@@ -31,7 +31,7 @@ from lithofig.llm.shared import in_slices, open_store, ragged, shared_folder, wo
 
 MAGIC = b"LITHOREC"
 MASK_DELTA = 0xA282EAD8
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
 HEAD, FOOT = "<QI", "<I"
 HEAD_SIZE, FOOT_SIZE = struct.calcsize(HEAD), struct.calcsize(FOOT)
 
@@ -139,7 +139,7 @@ def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: i
         name, own = f"{base}/shard-{shard:07d}", f"{base}/.{uuid.uuid4().hex}"
         kind, records, tokens, at, index = f"<u{enc.width}", 0, 0, 0, []
         sink = None
-        for batch in in_slices(batches, 1, 16 << 20):
+        for batch in in_slices(batches, 1, 8 << 20):
             if sink is None:
                 sink = store.open_output_stream(own)
                 sink.write(MAGIC + bytes([enc.width]))
