@@ -45,14 +45,14 @@ FREQUENT_IN_SAMPLE, FREQUENT_MOST = 3, 1_000_000
 #: Sets in a region before it is split, and how often that is tried.
 REGION, SPLITS = 64, 2
 #: Pivots of a region.
-PIVOTS = 4
+PIVOTS = 3
 #: Members of a block when a region's members are compared.
 BLOCK = 4096
 #: Pairs of one pivot that are verified in one run.
 RUN = 64
 BROADCAST_IDS = 2_000_000
-#: Buckets of the coarse space, those of sets of more than LARGE shingles (as 16 each), and LARGE.
-BUCKETS, FINE_BUCKETS, LARGE = 256, 4096, 1500
+#: Buckets of the coarse space, the bits that choose one of a set of more than LARGE shingles, and LARGE.
+BUCKETS, FINE_BITS, LARGE = 256, 11, 1500
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,19 +103,22 @@ def prefix_of(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
-    """How many shingles fall in each bucket of their leading bits, as uint16."""
-    bits = 12 if len(shingles) > LARGE else 8
-    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+    """How many shingles fall in each bucket of their leading bits, as uint8; empty if one holds over 255."""
+    bits = FINE_BITS if len(shingles) > LARGE else 8
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def _coarse(sketches: list[bytes]) -> np.ndarray:
-    rows = [np.frombuffer(b, "<u2").astype(np.int32) for b in sketches]
+    rows = [np.frombuffer(b, np.uint8).astype(np.int32) if b else np.zeros(BUCKETS, np.int32) for b in sketches]
     return np.stack([r if len(r) == BUCKETS else r.reshape(BUCKETS, -1).sum(1) for r in rows])
 
 
 def _may_link(s: bytes, t: bytes, percent: int) -> bool:
     """Whether |x ^ y| <= (1 - j) / (1 + j) * (|x| + |y|) can hold, in the finest buckets that both sketches have."""
-    x, y = np.frombuffer(s, "<u2").astype(np.int64), np.frombuffer(t, "<u2").astype(np.int64)
+    if not s or not t:
+        return True
+    x, y = np.frombuffer(s, np.uint8).astype(np.int64), np.frombuffer(t, np.uint8).astype(np.int64)
     if len(x) != len(y):
         x, y = x.reshape(BUCKETS, -1).sum(1), y.reshape(BUCKETS, -1).sum(1)
     return (100 + percent) * int(np.abs(x - y).sum()) <= (100 - percent) * int(x.sum() + y.sum())
@@ -268,7 +271,7 @@ def _within_regions(placed: DataFrame, percent: int) -> DataFrame:
         node, n, root, block = (rows.column(c).to_numpy() for c in ("node", "n", "root", "block"))
         d = rows.column("d").to_numpy()
         whole = rows.column("sketch").to_pylist()
-        sketch = _coarse(whole)
+        sketch, unknown = _coarse(whole), np.array([not b for b in whole])
         apart = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
         for begin in range(0, len(node), 128):
             i = slice(begin, begin + 128)
@@ -281,6 +284,7 @@ def _within_regions(placed: DataFrame, percent: int) -> DataFrame:
             for at in range(0, len(x), 20_000):
                 u, v = x[at:at + 20_000], y[at:at + 20_000]
                 keep = (100 + percent) * np.abs(sketch[u] - sketch[v]).sum(1) <= (100 - percent) * (n[u] + n[v])
+                keep |= unknown[u] | unknown[v]
                 for k, m in zip(u[keep].tolist(), v[keep].tolist(), strict=True):
                     if n[k] <= LARGE or n[m] <= LARGE or _may_link(whole[k], whole[m], percent):
                         yield int(node[k]), int(node[m])
