@@ -51,8 +51,9 @@ BLOCK = 4096
 #: Pairs of one pivot that are verified in one run.
 RUN = 64
 BROADCAST_IDS = 2_000_000
-#: Buckets of the coarse space, the bits that choose one of a set of more than LARGE shingles, and LARGE.
-BUCKETS, FINE_BITS, LARGE = 256, 11, 1500
+#: A coarse space has about so many shingles of a set in a bucket, and between 2 ** COARSEST and 2 ** FINEST buckets.
+#: Unrelated sets with up to 15 are told apart, as their distance is then above the bound.
+IN_BUCKET, COARSEST, FINEST = 8, 6, 14
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,24 +105,27 @@ def prefix_of(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT
 
 def sketch_of(shingles: np.ndarray) -> bytes:
     """How many shingles fall in each bucket of their leading bits, as uint8; empty if one holds over 255."""
-    bits = FINE_BITS if len(shingles) > LARGE else 8
+    bits = min(max(COARSEST, (max(len(shingles) - 1, 0) // IN_BUCKET).bit_length()), FINEST)
     counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
-def _coarse(sketches: list[bytes]) -> np.ndarray:
-    rows = [np.frombuffer(b, np.uint8).astype(np.int32) if b else np.zeros(BUCKETS, np.int32) for b in sketches]
-    return np.stack([r if len(r) == BUCKETS else r.reshape(BUCKETS, -1).sum(1) for r in rows])
+def _in_buckets(sketch: bytes, buckets: int) -> np.ndarray:
+    counts = np.frombuffer(sketch, np.uint8)
+    return counts if len(counts) == buckets else counts.reshape(buckets, -1).sum(1)
 
 
-def _may_link(s: bytes, t: bytes, percent: int) -> bool:
+def _may_link(pairs: list[tuple[bytes, bytes]], percent: int) -> np.ndarray:
     """Whether |x ^ y| <= (1 - j) / (1 + j) * (|x| + |y|) can hold, in the finest buckets that both sketches have."""
-    if not s or not t:
-        return True
-    x, y = np.frombuffer(s, np.uint8).astype(np.int64), np.frombuffer(t, np.uint8).astype(np.int64)
-    if len(x) != len(y):
-        x, y = x.reshape(BUCKETS, -1).sum(1), y.reshape(BUCKETS, -1).sum(1)
-    return (100 + percent) * int(np.abs(x - y).sum()) <= (100 - percent) * int(x.sum() + y.sum())
+    keep = np.ones(len(pairs), bool)
+    finest = np.array([min(len(s), len(t)) for s, t in pairs], np.int64)
+    for buckets in np.unique(finest[finest > 0]).tolist():
+        at = np.flatnonzero(finest == buckets)
+        for part in np.array_split(at, -(-len(at) * buckets // (1 << 20))):
+            x = np.array([_in_buckets(pairs[i][0], buckets) for i in part], np.int32)
+            y = np.array([_in_buckets(pairs[i][1], buckets) for i in part], np.int32)
+            keep[part] = (100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * (x.sum(1) + y.sum(1))
+    return keep
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -254,24 +258,29 @@ def _near_in_sketch(pairs: DataFrame, table: DataFrame, percent: int) -> DataFra
 
     def near(batches):
         for batch in in_slices(batches, 2):
-            keep = [_may_link(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = _may_link(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "s", "t").mapInArrow(near, "a long, b long")
 
 
-def _within_regions(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a region that steps 3 and 4 leave, from (region, node, n, root, d, sketch)."""
+def _within_regions(placed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a region that steps 3 and 4 leave, from (region, node, n, root, d) and sketches by node.
+
+    Sketches join last, so that they are dealt out by block alone.
+    """
     counts = placed.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(counts, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "root", "d", "sketch")
+    dealt = dealt.select("region", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "root", "d")
+    dealt = dealt.join(sketches, "node").select("region", "p", "q", "block", "node", "n", "root", "d", "sketch")
 
     def compare(rows: pa.Table) -> Iterator[tuple[int, int]]:
         node, n, root, block = (rows.column(c).to_numpy() for c in ("node", "n", "root", "block"))
         d = rows.column("d").to_numpy()
         whole = rows.column("sketch").to_pylist()
-        sketch, unknown = _coarse(whole), np.array([not b for b in whole])
+        coarse, unknown = 1 << COARSEST, np.array([not b for b in whole])
+        sketch = np.array([_in_buckets(b, coarse) if b else np.zeros(coarse) for b in whole], np.int32)
         apart = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
         for begin in range(0, len(node), 128):
             i = slice(begin, begin + 128)
@@ -285,9 +294,9 @@ def _within_regions(placed: DataFrame, percent: int) -> DataFrame:
                 u, v = x[at:at + 20_000], y[at:at + 20_000]
                 keep = (100 + percent) * np.abs(sketch[u] - sketch[v]).sum(1) <= (100 - percent) * (n[u] + n[v])
                 keep |= unknown[u] | unknown[v]
-                for k, m in zip(u[keep].tolist(), v[keep].tolist(), strict=True):
-                    if n[k] <= LARGE or n[m] <= LARGE or _may_link(whole[k], whole[m], percent):
-                        yield int(node[k]), int(node[m])
+                u, v = u[keep], v[keep]
+                keep = _may_link([(whole[k], whole[m]) for k, m in zip(u.tolist(), v.tolist(), strict=True)], percent)
+                yield from zip(node[u[keep]].tolist(), node[v[keep]].tolist(), strict=True)
 
     def sweep(batches):
         held: list[pa.RecordBatch] = []
@@ -418,7 +427,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id
     placed = named.join(several, "region").join(pivots.select("region", F.get("p", F.lit(0))["a"].alias("a")), "region").join(away, ["a", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("a"), 0.0).otherwise(F.col("d")))
     placed = materialize(placed.select("region", "node", "n", "root", "d"))
     seen = materialize(_sketches(placed.select("node").distinct(), table))
-    rest = _within_regions(placed.join(seen, "node"), percent).distinct()
+    rest = _within_regions(placed, seen, percent).distinct()
     done = first.select("a", "b").union(first.select("b", "a"))
     second = _checked(rest.join(done, ["a", "b"], "left_anti"), table, nodes, plain, percent, words, sifted=True)
     labels = materialize(connected_components(first.where(linked).union(second.where(linked))))
