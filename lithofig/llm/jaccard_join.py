@@ -115,15 +115,16 @@ def _in_buckets(sketch: bytes, buckets: int) -> np.ndarray:
     return counts if len(counts) == buckets else counts.reshape(buckets, -1).sum(1)
 
 
-def _may_link(pairs: list[tuple[bytes, bytes]], percent: int) -> np.ndarray:
-    """Whether |x ^ y| <= (1 - j) / (1 + j) * (|x| + |y|) can hold, in the finest buckets that both sketches have."""
-    keep = np.ones(len(pairs), bool)
-    finest = np.array([min(len(s), len(t)) for s, t in pairs], np.int64)
+def _may_link(sketches: list[bytes], u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+    """Whether |x ^ y| <= (1 - j) / (1 + j) * (|x| + |y|) can hold for the pairs at places (u, v), in the finest buckets that both have."""
+    keep, sizes = np.ones(len(u), bool), np.array([len(s) for s in sketches], np.int64)
+    finest = np.minimum(sizes[u], sizes[v])
     for buckets in np.unique(finest[finest > 0]).tolist():
         at = np.flatnonzero(finest == buckets)
         for part in np.array_split(at, -(-len(at) * buckets // (1 << 20))):
-            x = np.array([_in_buckets(pairs[i][0], buckets) for i in part], np.int32)
-            y = np.array([_in_buckets(pairs[i][1], buckets) for i in part], np.int32)
+            used, place = np.unique(np.concatenate([u[part], v[part]]), return_inverse=True)
+            rows = np.array([_in_buckets(sketches[i], buckets) for i in used.tolist()], np.int32)
+            x, y = rows[place[:len(part)]], rows[place[len(part):]]
             keep[part] = (100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * (x.sum(1) + y.sum(1))
     return keep
 
@@ -258,7 +259,8 @@ def _near_in_sketch(pairs: DataFrame, table: DataFrame, percent: int) -> DataFra
 
     def near(batches):
         for batch in in_slices(batches, 2):
-            keep = _may_link(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), percent)
+            first = np.arange(batch.num_rows)
+            keep = _may_link(batch.column(2).to_pylist() + batch.column(3).to_pylist(), first, first + batch.num_rows, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "s", "t").mapInArrow(near, "a long, b long")
@@ -295,7 +297,7 @@ def _within_regions(placed: DataFrame, sketches: DataFrame, percent: int) -> Dat
                 keep = (100 + percent) * np.abs(sketch[u] - sketch[v]).sum(1) <= (100 - percent) * (n[u] + n[v])
                 keep |= unknown[u] | unknown[v]
                 u, v = u[keep], v[keep]
-                keep = _may_link([(whole[k], whole[m]) for k, m in zip(u.tolist(), v.tolist(), strict=True)], percent)
+                keep = _may_link(whole, u, v, percent)
                 yield from zip(node[u[keep]].tolist(), node[v[keep]].tolist(), strict=True)
 
     def sweep(batches):
