@@ -265,6 +265,44 @@ def test_leaks(spark):
     assert decontaminate.common_subsequence([1, 2, 3, 4], [9, 1, 3, 3, 4]) == 3
 
 
+def brute_leaks(bench, texts):
+    """Every item against the surroundings of every passage."""
+    plain = lambda t: [w for w in (w.strip(decontaminate.MARKS) for w in (t or "").lower().split()) if w]
+    got = []
+    for words in map(plain, texts):
+        got.append([])
+        for i, item in bench:
+            pattern = plain(item)
+            reach, found = len(pattern) + len(pattern) // 4, False
+            for s in range(0, max(1, len(words) - 12), 12):
+                around = words[max(0, s - reach):s + 24 + reach]
+                whole = decontaminate.common_subsequence(pattern, around) >= 0.6 * len(pattern)
+                found |= whole and decontaminate.common_subsequence(pattern[-8:], around) >= 0.5 * len(pattern[-8:])
+            if found:
+                got[-1].append(i)
+    return got
+
+
+def test_widespread_leaks_equal_brute_force(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    often = [word() for _ in range(20)]
+    own = lambda n: " ".join(word() if rnd.random() < 0.7 else rnd.choice(often) for _ in range(n))
+    bench = [(i, own(n)) for i, n in enumerate([30, 12, 40, 30, 15, 59])]
+    drop = lambda t: " ".join(w for w in t.split() if rnd.random() < 0.75)
+    # item 0 in a third of all rows, each of other text; item 1 in one text copied into a fifth of them; item 2's words everywhere
+    copied = own(60) + " " + bench[1][1] + " " + own(50)
+    mixed = bench[2][1].split()
+    texts = [own(90) + " " + (bench[0][1] if i % 2 else drop(bench[0][1])) + " " + own(40) for i in range(40)] + [copied] * 24
+    texts += [own(50) + " " + " ".join(rnd.sample(mixed, len(mixed))) for _ in range(20)]
+    texts += [own(60) + " " + drop(bench[i % 6][1]) + " " + own(60) for i in range(24)] + [own(120) for _ in range(12)]
+    got = decontaminate.find_leaks(docs(spark, [(i, t, "s", 1) for i, t in enumerate(texts)]), spark.createDataFrame(bench, "item_id long, text string"))
+    found = {r.doc_id: r["items"] for r in got.collect()}
+    wanted = brute_leaks(bench, texts)
+    assert sum(0 in w for w in wanted) >= 30 and sum(1 in w for w in wanted) >= 24
+    assert [found[i] for i in range(len(texts))] == wanted
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
