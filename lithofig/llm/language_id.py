@@ -14,14 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithofig.llm.shared import in_slices, sums_between, words_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: The model is fitted on at most so many labelled rows for each language, those with the least id hashes.
 SAMPLE_PER_LANGUAGE = 600
-#: A language needs to be among so many most frequent ones of the sample to be learned.
-MOST_LANGUAGES = 256
 LONGEST = 4
 #: An unseen word counts as this share of a known one.
 BACKOFF_WEIGHT = 0.5
@@ -133,12 +132,16 @@ class LanguageModel:
 def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
     """Fit on a bounded sample of the rows of ``labelled`` whose language is known; None without any.
 
-    The bound holds for each language: of each, the rows with the least hashes of their id.
+    The bound holds for each language: of each, the rows with the least hashes of their id. Every
+    language that occurs is learned; those with no more rows than the bound are taken at once.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).collect()
     sample: list[tuple[str, str]] = []
-    for row in counts:
+    whole = labelled.sparkSession.createDataFrame([(r[0],) for r in counts if r["n"] <= per_language], T.StructType([T.StructField("whole", labelled.schema[lang_col].dataType)]))
+    rest = known.join(F.broadcast(whole), F.col(lang_col) == F.col("whole"))
+    sample += [(r[0], r[1]) for r in rest.select(lang_col, text_col).collect()]
+    for row in (r for r in counts if r["n"] > per_language):
         own = known.where(F.col(lang_col) == row[0]).select(lang_col, text_col, F.xxhash64(id_col).alias("h"))
         sample += [(r[0], r[1]) for r in own.orderBy("h", text_col).limit(per_language).collect()]
     return LanguageModel(sample) if sample else None
