@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lithofig.llm.decontaminate import find_leaks
 from lithofig.llm.jaccard_join import jaccard_join
-from lithofig.llm.mixing import mix_sources
+from lithofig.llm.mixing import mix_sources, word_count
 from lithofig.llm.quality_crf import fit_line_field, score_quality
 from lithofig.llm.shared import materialize
 from lithofig.llm.token_records import token_records
@@ -31,12 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the Jaccard join links: the one with the least id.
 
-    Documents without an id stay. Of rows that repeat an id one stays.
+    Rows without an id come last in their group. Of rows that repeat an id one stays.
     """
-    groups = jaccard_join(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.union(docs.where("doc_id is null")).select(*docs.columns)
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = jaccard_join(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")).alias("kept")
+    least = keyed.select("doc_id", "__row").join(groups, "__row").groupBy("component_id").agg(first).select("kept.*")
+    kept = least.groupBy("doc_id", F.when(F.col("nameless"), F.col("__row"))).agg(F.min("__row").alias("__row"))
+    return keyed.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*[docs[c] for c in docs.columns], "copies")
+    copies = mix_sources(docs, more=("source",)).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
+    sized = docs.withColumn("__size", word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(copies["doc_id"]) & sized["source"].eqNullSafe(copies["source"]) & (sized["__size"] == copies["size"])
+    taken = sized.join(copies, same).select(*[sized[c] for c in docs.columns], "copies")
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
 
 

@@ -163,7 +163,7 @@ def _bounded(counted: DataFrame) -> np.ndarray:
 
 
 def _node_table(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Per document its set's size, its node (a hash of the set) and the set's first pivots.
+    """Per document its set's size, its node (a hash of the set), the set's first pivots and, without an id, its text's hash.
 
     Of equal sets that one task sees only the first has pivots.
     """
@@ -180,9 +180,10 @@ def _node_table(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
                 seen.add(node)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in pivots])]).astype(np.int32)
             flat = _signed(np.concatenate(pivots)) if pivots else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(nodes), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([sketch_of(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node", "pivots", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(nodes), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([sketch_of(s) for s in sets], pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "node", "pivots", "sketch", "h"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n_shingles long, node long, pivots array<long>, sketch binary")
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("h"))
+    return rows.mapInArrow(emit, "doc_id long, n_shingles long, node long, pivots array<long>, sketch binary, h long")
 
 
 def _regions(placed: DataFrame, bound: int) -> DataFrame:
@@ -383,14 +384,14 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
     ``component_id`` is the least id reachable over links, the document's own included. Texts
-    without words, and null ones, link with nothing. Rows with a null id have the least id of
-    the rows with an equal set, and without one null; a set of only such rows links with nothing. Repeated rows are each returned. An empty table gives
+    without words, and null ones, link with nothing. Rows with a null id link as others do; they
+    have the least id reachable, and null where only such rows are. Repeated rows are each returned. An empty table gives
     an empty result; other columns are ignored.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequent = _frequent_in_sample(plain, plain.count(), words, order_sample)
     table = materialize(_node_table(plain, frequent, words, percent))
-    nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
 
     placed = table.select(F.explode("pivots").alias("pivot"), "node", F.col("n_shingles").alias("n"))
     found, parts = materialize(_regions(placed, region)), []
@@ -445,11 +446,15 @@ def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     """(node, text) of one document per wanted node.
 
     The ids are broadcast to the scan while they are few; beyond that both sides are shuffled.
+    Sets of rows without an id are found by the hash of a text.
     """
-    chosen = materialize(wanted.join(nodes.select("node", "rep"), "node"))
+    chosen = materialize(wanted.join(nodes.select("node", "rep", "h"), "node"))
     small = chosen.count() <= BROADCAST_IDS
     ids = F.broadcast(chosen) if small else chosen
     rows = docs.join(ids, F.col("doc_id") == F.col("rep")).select("node", "text")
+    if not chosen.where("rep is null").isEmpty():
+        nameless = docs.where("doc_id is null").join(ids.where("rep is null").select("node", "h"), F.xxhash64("text") == F.col("h"))
+        rows = rows.union(nameless.groupBy("node").agg(F.first("text").alias("text")))
 
     def own(batches):  # an id that stands at several texts brings them all
         for batch in in_slices(batches, 1):

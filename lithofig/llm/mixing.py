@@ -57,7 +57,7 @@ def fill_targets(sizes: list[int], weights: list[float], total: float, most: flo
 
 def mix_sources(
     docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, more: tuple[str, ...] = (),
 ) -> DataFrame:
     """Columns ``doc_id, size, source_size, target, taken``: one row per row of ``docs``.
 
@@ -65,7 +65,7 @@ def mix_sources(
     share ``share`` times all words. A document that straddles the end of a budget is taken if
     that comes nearer to the target. Documents with equal id, size and key are taken together, so
     repeated rows agree; a null id draws a key as an empty one does. Null texts have size 0. An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. ``more`` may ask for ``source``.
     """
     spark = docs.sparkSession
     size = word_count(F.col(text_col))
@@ -108,4 +108,4 @@ def mix_sources(
     out = planned.join(reach, F.col("source").eqNullSafe(F.col("s")), "left")
     within = F.when(F.col("b").isNull(), F.col("rest") > 0).when(F.col("bin") < F.col("b"), True).when(F.col("bin") > F.col("b"), False).otherwise(
         F.coalesce(F.struct("key", "doc_id", "size") <= F.col("cut"), F.lit(False)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + within.cast("long"))).alias("taken"), (F.col("epochs") + within.cast("long")).alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + within.cast("long"))).alias("taken"), (F.col("epochs") + within.cast("long")).alias("copies"), *more)

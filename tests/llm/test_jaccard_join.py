@@ -66,6 +66,15 @@ def test_empty_nulls_and_other_columns(spark):
     assert got == sorted([(None, 7, 4), (4, 7, 4), (None, 1, None)], key=str)
 
 
+def test_rows_without_id_link(spark):
+    words = [f"w{i}" for i in range(40)]
+    near = lambda k: " ".join([*words[:k], "other", *words[k + 1:]])
+    alone = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, " ".join(words)), (None, " ".join(words)), (7, near(0)), (None, near(39)), (None, alone), (None, alone + " more")]
+    got = sorted((tuple(r) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 36, 7), (None, 36, 7), (7, 36, 7), (None, 36, 7), (None, 36, None), (None, 37, None)], key=str)
+
+
 def test_very_long_text(spark):
     base = [f"w{i}" for i in range(40_000)]
     other = base[:30_000] + [f"v{i}" for i in range(4_000)] + base[34_000:]

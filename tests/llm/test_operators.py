@@ -309,6 +309,19 @@ def test_widespread_leaks_equal_brute_force(spark):
     assert [found[i] for i in range(len(texts))] == wanted
 
 
+def test_pipeline_rows_without_or_with_one_id(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(0), "s", 1), (None, text(0), "s", 2), (5, text(1), "s", 1), (5, text(1), "s", 2), (None, text(1), "s", 1), (None, text(2), "s", 1), (3, None, "s", 1), (5, text(3), "s", 1)]
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept if r.doc_id != 5) == sorted([("None", text(0)), ("None", text(2)), ("3", "")])
+    assert [r.doc_id for r in kept].count(5) == 1
+    many = docs(spark, [(None, text(k), "ab"[k % 2], 1) for k in range(6)])
+    expected = sum(r.copies for r in mixing.mix_sources(many).collect())
+    assert 0 < corpus_pipeline.mixing(spark, many, "").count() == expected <= 12
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
