@@ -1,24 +1,21 @@
 """Exact Jaccard join of word shingle sets in their metric space.
 
-1. The first pivots are single shingles. Their Voronoi regions are found without a distance: of
-   the shingles of a set, taken in a global order with frequent ones last, two sets within
-   Jaccard distance t share one of the first n - ceil((1 - t) n) + 1. That is the window: a set
-   is replicated to the regions of all these pivots, and to no other.
-2. Regions above a bound are split again: their pivots move to the end of the order, which is a
-   finer one for just the sets they hold, and these choose new pivots. Any order is exact.
-   Regions that stay above the bound and have their least member (by hash) in common, as those of
-   one group of copies mostly do, become one region.
-3. In each region a few documents become pivots, and their distances to the members are computed
-   from the whole sets. Members within t are linked.
-   Pairs first meet in a coarser metric space: counts of the shingles by the buckets of a hash.
-   The L1 distance there is at most the symmetric difference of the sets, so a pair beyond its
-   bound can't link, and only the others' texts are read again.
-4. In regions that still hold several components the other members are compared, but only between
-   different components, within the window of sizes, and where the distances to the region's
-   first pivot differ by t at most, as the triangle inequality demands. Very large regions meet in
-   pairs of blocks.
-
-Equal sets are one node throughout.
+1. Sets on their own. A set can only link if three quarters of its shingles are shared. Shingles
+   of a part of the hash space are counted over the whole corpus, and sets with too many of their
+   own within that part have nothing within distance t and leave. Equal sets are one node.
+2. Index. Of the sets that stay the first n - ceil((1 - t) n) + 1 shingles in one common order are
+   listed. Two sets within t share a listed shingle, so all links lie within lists. The index only
+   finds pivots and neighbours; it decides nothing.
+3. Voronoi regions. Every list elects a document as pivot, distances to it are computed from whole
+   sets, and a set's region is that of its nearest pivot, if that is within ``REACH``. Sets
+   without a pivot in reach elect new ones among themselves, and so on; those that are left after
+   ``DEPTH`` rounds are pivots of regions of their own. Sets within t of a pivot are linked.
+4. Windows. Where a list still holds several classes, a set is replicated to the larger regions of
+   the list. Of two linked sets of different regions the one in the smaller is so brought to the other.
+5. Within a region sets of different classes are compared exactly, where sizes and the distances
+   to the region's pivot, which by the triangle inequality differ by t at most, allow a link.
+   Large regions meet in pairs of blocks, and sets of the region's main class are not compared
+   with each other. A block returns a forest over its classes, never all pairs.
 """
 
 from __future__ import annotations
@@ -33,27 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithofig.llm.components import connected_components
-from lithofig.llm.shared import in_slices, materialize, shared_folder, words_of
+from lithofig.llm.shared import discard, give_back, in_slices, materialize, ragged, words_of
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: The first order's frequent shingles come from about so many documents, drawn by a hash of their id.
-ORDER_SAMPLE = 8000
-#: A shingle of so many different sets of the sample is frequent; of these, so many at most are broadcast.
-FREQUENT_IN_SAMPLE, FREQUENT_MOST = 3, 1_000_000
-#: Sets in a region before it is split, and how often that is tried.
-REGION, SPLITS = 64, 2
-#: Pivots of a region.
-PIVOTS = 3
-#: Members of a block when a region's members are compared.
-BLOCK = 4096
-#: Pairs of one pivot that are verified in one run.
+#: Part of the hash space in which step 1 counts; any part is exact, a smaller one leaves more sets to step 2.
+COUNTED = 0.4
+#: Bytes of text whose shingles meet in one task of step 1.
+BUCKET_BYTES = 32 << 20
+#: A set belongs to a pivot at this distance or less.
+REACH = 0.5
+#: Rounds in which sets without a pivot in reach elect further ones.
+DEPTH = 4
+#: Sets measured against a pivot in one run.
 RUN = 64
+#: Shingles in a block when the sets of a region are compared.
+BLOCK = 400_000
+#: Ids broadcast to the scan; beyond that both sides are shuffled.
 BROADCAST_IDS = 2_000_000
-#: A coarse space has about so many shingles of a set in a bucket, and between 2 ** COARSEST and 2 ** FINEST buckets.
-#: Unrelated sets with up to 15 are told apart, as their distance is then above the bound.
-IN_BUCKET, COARSEST, FINEST = 8, 6, 14
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,374 +86,357 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def prefix_of(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """A set's first pivots: enough of its shingles, frequent ones last, that no linked set misses all."""
-    n = len(shingles)
-    wanted = n - -(-percent * n // 100) + 1
-    if not len(frequent) or not n:
-        return shingles[:wanted] if n else shingles
-    place = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    late = frequent[place] == shingles
-    rare = shingles[~late]
-    return rare[:wanted] if len(rare) >= wanted else np.concatenate([rare, shingles[late][:wanted - len(rare)]])
-
-
-def sketch_of(shingles: np.ndarray) -> bytes:
-    """How many shingles fall in each bucket of their leading bits, as uint8; empty if one holds over 255."""
-    bits = min(max(COARSEST, (max(len(shingles) - 1, 0) // IN_BUCKET).bit_length()), FINEST)
-    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
-
-
-def _in_buckets(sketch: bytes, buckets: int) -> np.ndarray:
-    counts = np.frombuffer(sketch, np.uint8)
-    return counts if len(counts) == buckets else counts.reshape(buckets, -1).sum(1)
-
-
-def _may_link(sketches: list[bytes], u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
-    """Whether |x ^ y| <= (1 - j) / (1 + j) * (|x| + |y|) can hold for the pairs at places (u, v), in the finest buckets that both have."""
-    keep, sizes = np.ones(len(u), bool), np.array([len(s) for s in sketches], np.int64)
-    finest = np.minimum(sizes[u], sizes[v])
-    for buckets in np.unique(finest[finest > 0]).tolist():
-        at = np.flatnonzero(finest == buckets)
-        for part in np.array_split(at, -(-len(at) * buckets // (1 << 20))):
-            used, place = np.unique(np.concatenate([u[part], v[part]]), return_inverse=True)
-            rows = np.array([_in_buckets(sketches[i], buckets) for i in used.tolist()], np.int32)
-            x, y = rows[place[:len(part)]], rows[place[len(part):]]
-            keep[part] = (100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * (x.sum(1) + y.sum(1))
-    return keep
+def node_of(shingles: np.ndarray) -> int:
+    """The name of a set: a hash of its shingles."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _frequent_in_sample(docs: DataFrame, n_docs: int, words: int, sample: int) -> np.ndarray:
-    wide = 1 << 30
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < int(wide * min(1.0, sample / max(n_docs, 1))))
+def _buffers(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array([p.tobytes() for p in parts], pa.binary())
 
-    def emit(batches):
-        seen: set[int] = set()
-        for batch in in_slices(batches, 1):
-            for shingles in shingle_sets(batch.column(1), words):
-                key = xxhash.xxh3_64_intdigest(shingles.tobytes())
-                if key not in seen and len(shingles):
-                    seen.add(key)
-                    yield pa.RecordBatch.from_arrays([_signed(shingles), pa.array(np.full(len(shingles), key, np.uint64).view(np.int64))], names=["shingle", "node"])
 
-    rows = drawn.select("doc_id", "text").mapInArrow(emit, "shingle long, node long")
-    counted = rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_IN_SAMPLE)
-    return _bounded(counted)
+MET = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("held", pa.binary()), ("counts", pa.binary()), ("single", pa.binary()), ("common", pa.binary())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("block", pa.int64()), ("own", pa.int64())])
 
 
-def _bounded(counted: DataFrame) -> np.ndarray:
-    """The most frequent shingles as a sorted array; a bounded number, and any subset is exact."""
-    path = shared_folder(counted.sparkSession)
-    counted.write.parquet(path)
-    table = counted.sparkSession.read.schema(counted.schema).parquet(path)
-    if table.count() > FREQUENT_MOST:
-        table = table.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST)
-    found = table.select("shingle").toArrow().column(0).to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+def _rows(schema: pa.Schema, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in schema], schema=schema)
 
 
-def _node_table(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Per document its set's size, its node (a hash of the set), the set's first pivots and, without an id, its text's hash.
+def _own_shingles(docs: DataFrame, buckets: int, words: int, counted: float) -> DataFrame:
+    """A row (doc_id, h, n, node) for each document, and rows (node, block, own) for its set.
 
-    Of equal sets that one task sees only the first has pivots.
+    The sum of ``own`` over one block is the number of shingles in the counted part that no other
+    set of the corpus has. Each task cuts its sets into blocks, counts what several sets of a block
+    share, and sends every shingle once a block to the bucket of its range, so a shingle of very
+    many documents costs a bucket no more than four bytes a block.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    bound = np.uint64(min(int(counted * 2.0**64), (1 << 64) - 1))
 
-    def emit(batches):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in in_slices(batches, 1):
             sets = shingle_sets(batch.column(1), words)
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
-            pivots = []
-            for s, node in zip(sets, nodes.tolist(), strict=True):
-                pivots.append(s[:0] if node in seen else prefix_of(s, shared.value, percent))
-                seen.add(node)
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in pivots])]).astype(np.int32)
-            flat = _signed(np.concatenate(pivots)) if pivots else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(nodes), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([sketch_of(s) for s in sets], pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "node", "pivots", "sketch", "h"])
-
-    rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("h"))
-    return rows.mapInArrow(emit, "doc_id long, n_shingles long, node long, pivots array<long>, sketch binary, h long")
-
-
-def _regions(placed: DataFrame, bound: int) -> DataFrame:
-    """Members of all regions of two sets or more: (region, node, n, hot), from (pivot, node, n).
-
-    Rows are dealt out and sorted by pivot and pass by in a stream. Regions with the same members
-    are one, named by a hash of these. Members of a region above the bound are named by its pivot
-    and marked hot.
-    """
-
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        held: list[list[np.ndarray]] = [[], [], []]
-
-        def close(pivots, nodes, sizes):
-            if not len(pivots):
-                return None
-            new = np.ones(len(pivots), bool)
-            new[1:] = (pivots[1:] != pivots[:-1]) | (nodes[1:] != nodes[:-1])
-            pivots, nodes, sizes = pivots[new], nodes[new], sizes[new]
-            starts = np.flatnonzero(np.concatenate([[True], pivots[1:] != pivots[:-1]]))
-            counts = np.diff(np.append(starts, len(pivots)))
-            region = np.repeat(pivots[starts], counts)
-            hot = np.repeat(counts > bound, counts)
-            keep = np.repeat(counts > 1, counts)
-            for begin, count in zip(starts[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
-                if count > bound:
-                    continue
-                name = xxhash.xxh3_64_intdigest(nodes[begin:begin + count].tobytes())
-                if name in known:
-                    keep[begin:begin + count] = False
+            nodes = np.array([node_of(s) for s in sets], np.uint64)
+            yield _rows(MET, len(sets), bucket=pa.array((nodes % np.uint64(buckets)).astype(np.int32)), doc_id=batch.column(0), h=batch.column(2), n=pa.array([len(s) for s in sets], pa.int64()), node=_signed(nodes))
+            fresh = []
+            for i, node in enumerate(nodes.tolist()):
+                if node not in seen and len(sets[i]):
+                    seen.add(node)
+                    fresh.append(i)
+            if not fresh:
+                continue
+            parts = [sets[i][:np.searchsorted(sets[i], bound, "right")] for i in fresh]
+            sizes, names = np.array([len(p) for p in parts], np.int64), nodes[fresh]
+            flat, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+            block = _signed(np.array([xxhash.xxh3_64_intdigest(names.tobytes())], np.uint64))[0]
+            order = np.argsort(flat)
+            ranked = flat[order]
+            same = ranked[1:] == ranked[:-1]
+            several = np.zeros(len(flat), bool)
+            several[order[1:][same]] = True
+            several[order[:-1][same]] = True
+            shared = np.bincount(owner[several], minlength=len(parts))
+            yield _rows(MET, 1, bucket=pa.array([int(names[0] % np.uint64(buckets))]), node=pa.array([block.as_py()]), held=_buffers([names]), counts=_buffers([(sizes - shared).astype(np.uint32)]))
+            to = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+            common, left = np.unique(flat[several]), ~several
+            flat, owner = flat[left], owner[left]
+            into = to(flat)
+            order = np.argsort(into, kind="stable")  # keeps the owners together
+            flat, owner, into = flat[order].astype(np.uint32), owner[order], into[order]
+            edges, shared_edges = np.searchsorted(into, np.arange(buckets + 1)), np.searchsorted(to(common), np.arange(buckets + 1))
+            common = common.astype(np.uint32)
+            out: list[list] = [[], [], [], [], []]
+            for b in range(buckets):
+                mine, also = slice(edges[b], edges[b + 1]), slice(shared_edges[b], shared_edges[b + 1])
+                if mine.start == mine.stop and also.start == also.stop:
                     continue
-                if len(known) > 500_000:
-                    known.clear()
-                known.add(name)
-                region[begin:begin + count] = np.array([name], np.uint64).view(np.int64)[0]
-            if not keep.any():
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(nodes[keep]), pa.array(sizes[keep]), pa.array(hot[keep])], names=["region", "node", "n", "hot"])
-
-        waiting = 0
+                first = np.flatnonzero(np.concatenate([[True], owner[mine][1:] != owner[mine][:-1]])) if mine.stop > mine.start else np.zeros(0, np.int64)
+                counts = np.diff(np.append(first, mine.stop - mine.start)).astype(np.uint32)
+                for o, x in zip(out, (b, names[owner[mine][first]], counts, flat[mine], common[also]), strict=True):
+                    o.append(x)
+            if out[0]:
+                size = len(out[0])
+                yield _rows(MET, size, bucket=pa.array(out[0]), node=pa.array([block.as_py()] * size), held=_buffers(out[1]), counts=_buffers(out[2]), single=_buffers(out[3]), common=_buffers(out[4]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for h, c in zip(held, columns, strict=True):
-                h.append(c)
-            waiting += batch.num_rows
-            if waiting < 200_000:
-                continue
-            columns = [np.concatenate(h) for h in held]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            out = close(*[c[:cut] for c in columns])
-            held, waiting = [[c[cut:]] for c in columns], len(columns[0]) - cut
-            if out is not None:
-                yield out
-        if waiting:
-            out = close(*[np.concatenate(h) for h in held])
-            if out is not None:
-                yield out
-
-    ordered = placed.select("pivot", "node", "n").repartition("pivot").sortWithinPartitions("pivot", "node")
-    return ordered.mapInArrow(sweep, "region long, node long, n long, hot boolean")
-
-
-def _sketches(ends: DataFrame, table: DataFrame) -> DataFrame:
-    return table.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
+            document = pc.is_valid(batch.column("n"))
+            docs = batch.filter(document)
+            if docs.num_rows:
+                yield _rows(FOUND, docs.num_rows, **{c: docs.column(c) for c in ("doc_id", "h", "n", "node")})
+            for row in batch.filter(pc.invert(document)).select(["node", "held", "counts", "single", "common"]).to_pylist():
+                nodes, counts = np.frombuffer(row["held"], np.uint64), np.frombuffer(row["counts"], np.uint32)
+                if row["single"] is None:
+                    yield _rows(FOUND, len(nodes), node=_signed(nodes), block=pa.array(np.full(len(nodes), row["node"])), own=pa.array(counts.astype(np.int64)))
+                else:
+                    held.append((row["node"], nodes, counts, np.frombuffer(row["single"], np.uint32), np.frombuffer(row["common"], np.uint32)))
+        if not held:
+            return
+        nodes, counts = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        blocks = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
+        single, common = np.concatenate([x[3] for x in held]), np.unique(np.concatenate([x[4] for x in held]))
+        held.clear()
+        segment = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
+        order = np.argsort(single)
+        ranked = single[order]
+        begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(begins, len(ranked)))
+        shared = np.isin(ranked[begins], common, assume_unique=True)
+        some = np.flatnonzero((sizes > 1) & ~shared)
+        if len(some):
+            at = nodes[segment[ragged(order, begins[some], sizes[some])]]
+            cuts = np.cumsum(sizes[some]) - sizes[some]
+            shared[some] = np.minimum.reduceat(at, cuts) != np.maximum.reduceat(at, cuts)
+        total = np.bincount(segment[order[np.repeat(shared, sizes)]], minlength=len(nodes))
+        some = np.flatnonzero(total)
+        for cut in range(0, len(some), 100_000):
+            part = some[cut:cut + 100_000]
+            yield _rows(FOUND, len(part), node=_signed(nodes[part]), block=pa.array(blocks[part]), own=pa.array(-total[part]))
+        give_back()
+
+    sent = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("h")).mapInArrow(emit, "bucket int, doc_id long, h long, n long, node long, held binary, counts binary, single binary, common binary")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "doc_id long, h long, n long, node long, block long, own long")
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, n, shingles) of every wanted (node, rep, h), from the text of one document each.
 
+    The ids are broadcast to the scan while they are few; beyond that both sides are shuffled.
+    Sets of rows without an id are found by the hash of a text.
+    """
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    rows = docs.join(ids, F.col("doc_id") == F.col("rep")).select("node", "text")
+    if not wanted.where("rep is null").isEmpty():
+        rows = rows.union(docs.where("doc_id is null").join(ids.where("rep is null"), F.xxhash64("text") == F.col("h")).select("node", "text"))
 
-def _near_in_sketch(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule a link out."""
-    known = materialize(_sketches(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), table))
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(known.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
+    def own(batches):  # an id that stands at several texts brings them all
+        for batch in in_slices(batches, 1):
+            sets = shingle_sets(batch.column(1), words)
+            keep = [i for i, (s, node) in enumerate(zip(sets, batch.column(0).to_numpy().view(np.uint64).tolist(), strict=True)) if node_of(s) == node]
+            if keep:
+                sizes = np.array([len(sets[i]) for i in keep])
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), _signed(np.concatenate([sets[i] for i in keep])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(sizes), flat], names=["node", "n", "shingles"])
 
-    def near(batches):
-        for batch in in_slices(batches, 2):
-            first = np.arange(batch.num_rows)
-            keep = _may_link(batch.column(2).to_pylist() + batch.column(3).to_pylist(), first, first + batch.num_rows, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    return rows.mapInArrow(own, "node long, n long, shingles array<long>").dropDuplicates(["node"])
 
-    return both.select("a", "b", "s", "t").mapInArrow(near, "a long, b long")
 
+def _lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(list, node): sets that have a shingle of the index in common. Lists of the same sets are one."""
+    wanted = F.expr(f"int(n - ceil({percent} * n / 100) + 1)")
+    rows = sets.select(F.explode(F.slice("shingles", F.lit(1), wanted)).alias("list"), "node")
+    alike = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    kept = rows.groupBy("list").agg(*alike).where("k > 1").groupBy("k", "x", "y").agg(F.min("list").alias("list"))
+    return rows.join(kept.select("list"), "list")
 
-def _within_regions(placed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a region that steps 3 and 4 leave, from (region, node, n, root, d) and sketches by node.
 
-    Sketches join last, so that they are dealt out by block alone.
-    """
-    counts = placed.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(counts, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "root", "d")
-    dealt = dealt.join(sketches, "node").select("region", "p", "q", "block", "node", "n", "root", "d", "sketch")
-
-    def compare(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        node, n, root, block = (rows.column(c).to_numpy() for c in ("node", "n", "root", "block"))
-        d = rows.column("d").to_numpy()
-        whole = rows.column("sketch").to_pylist()
-        coarse, unknown = 1 << COARSEST, np.array([not b for b in whole])
-        sketch = np.array([_in_buckets(b, coarse) if b else np.zeros(coarse) for b in whole], np.int32)
-        apart = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
-        for begin in range(0, len(node), 128):
-            i = slice(begin, begin + 128)
-            meet = (root[i, None] != root) & (node[i, None] < node) & (100 * np.minimum(n[i, None], n) >= percent * np.maximum(n[i, None], n))
-            meet &= ~(np.abs(d[i, None] - d) > 1 - percent / 100 + 1e-9)  # an unknown distance rules nothing out
-            if apart:
-                meet &= block[i, None] != block
-            x, y = np.nonzero(meet)
-            x += begin
-            for at in range(0, len(x), 20_000):
-                u, v = x[at:at + 20_000], y[at:at + 20_000]
-                keep = (100 + percent) * np.abs(sketch[u] - sketch[v]).sum(1) <= (100 - percent) * (n[u] + n[v])
-                keep |= unknown[u] | unknown[v]
-                u, v = u[keep], v[keep]
-                keep = _may_link(whole, u, v, percent)
-                yield from zip(node[u[keep]].tolist(), node[v[keep]].tolist(), strict=True)
-
-    def sweep(batches):
-        held: list[pa.RecordBatch] = []
-        known: set[tuple[int, int]] = set()
-
-        def closed(upto: pa.Table):
-            keys = upto.select(["region", "p", "q"])
-            cols = [keys.column(c).to_numpy() for c in ("region", "p", "q")]
-            new = np.ones(len(upto), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            starts = np.flatnonzero(new)
-            out = []
-            for begin, end in zip(starts, np.append(starts[1:], len(upto)), strict=True):
-                for pair in compare(upto.slice(begin, end - begin)):
-                    if pair not in known:
-                        known.add(pair)
-                        out.append(pair)
-            if len(known) > 300_000:
-                known.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+def _overlap(small: np.ndarray, large: np.ndarray) -> int:
+    if len(small) > len(large):
+        small, large = large, small
+    if not len(small):
+        return 0
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
-        for batch in in_slices(batches, 8):
-            key = [batch.column(c)[-1].as_py() for c in range(3)]
-            same = np.all([batch.column(c).to_numpy() == k for c, k in enumerate(key)], axis=0)
-            cut = int(np.argmax(same))
-            if cut or held and [held[-1].column(c)[-1].as_py() for c in range(3)] != key:
-                yield from closed(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from closed(pa.Table.from_batches(held))
 
-    ordered = dealt.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
-    return ordered.mapInArrow(sweep, "a long, b long")
+def _parts(column: pa.Array) -> list[np.ndarray]:
+    """The (sorted, unsigned) arrays of a list column."""
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(a, b, inter, united) for every pair of nodes, from the whole sets of both.
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, inter, united) for every pair (pivot a, set b), from whole sets.
 
-    Pairs are dealt out by a in runs of RUN. Each run streams by behind a's own set.
+    Pairs are dealt out by pivot in runs of RUN; each run streams by behind the pivot's own set.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"))
-    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"))
-    rows = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "run", F.lit(1).alias("turn"), "b", "text").union(
-        heads.join(texts.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(0).alias("turn"), F.col("a").alias("b"), "text"))
+    dealt = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.lit(1).alias("turn"), "b")
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("turn"), F.col("a").alias("b"))
+    rows = dealt.union(heads).join(sets.select(F.col("node").alias("b"), "shingles"), "b").select("a", "run", "turn", "b", "shingles")
 
     def compare(batches):
         head, current = (None, None), np.zeros(0, np.uint64)
-        for batch in in_slices(batches, 4):
-            sets = shingle_sets(batch.column(4), words)
+        for batch in batches:
             a, run, turn, b = (batch.column(i).to_pylist() for i in range(4))
             out = []
-            for i, other in enumerate(sets):
+            for i, other in enumerate(_parts(batch.column(4))):
                 if turn[i] == 0:
-                    head, current = (a[i], run[i]), other
+                    head, current = (a[i], run[i]), other.copy()
                 elif head == (a[i], run[i]):
-                    small, large = (other, current) if len(other) <= len(current) else (current, other)
-                    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    inter = int((large[place] == small).sum())
+                    inter = _overlap(other, current)
                     out.append((a[i], b[i], inter, len(other) + len(current) - inter))
                 else:
                     raise RuntimeError("a pair came before its pivot")
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "inter", "united"])
 
-    ordered = rows.repartition("a", "run").sortWithinPartitions("a", "run", "turn", "b")
-    return ordered.mapInArrow(compare, "a long, b long, inter long, united long")
+    return rows.repartition("a", "run").sortWithinPartitions("a", "run", "turn").mapInArrow(compare, "a long, b long, inter long, united long")
 
 
-def _checked(pairs: DataFrame, table: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int, sifted: bool = False) -> DataFrame:
-    """Exact intersections and unions of the pairs that sketches leave."""
-    pairs = materialize(pairs)
-    if not sifted:
-        pairs = materialize(_near_in_sketch(pairs, table, percent))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return materialize(_verified(pairs, materialize(_texts_of(ends, nodes, docs, words)), words))
+def _regions(lists: DataFrame, sets: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Regions (node, region, d) of all listed sets, and links (a, b) between pivots and sets."""
+    size = sets.select("node", "n")
+    open_, homes, links = lists, None, None
+    for level in range(depth):
+        pivots = open_.groupBy("list").agg(F.min(F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "node")).alias("p"), F.count("*").alias("k")).where("k > 1")
+        pairs = open_.join(pivots.select("list", F.col("p.node").alias("a")), "list").select("a", F.col("node").alias("b")).distinct()
+        pairs = materialize(pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(size.withColumnRenamed("node", "b"), "b").where(F.least("n", "m") >= (1 - REACH) * F.greatest("n", "m")).select("a", "b"))
+        if pairs.isEmpty():
+            break
+        far = materialize(_measured(pairs.where("a <> b"), sets))
+        own = pairs.where("a = b").select("b", F.lit(0.0).alias("d"), "a")
+        near = far.select("b", (1 - F.col("inter") / F.col("united")).alias("d"), "a").where(F.col("d") <= REACH).union(own)
+        home = materialize(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("p")).select(F.col("b").alias("node"), F.col("p.a").alias("region"), "p.d"))
+        link = far.where(F.col("inter") * 100 >= percent * F.col("united")).select("a", "b")
+        homes, links = (home, link) if homes is None else (homes.union(home), links.union(link))
+        left = materialize(open_.join(home, "node", "left_anti").select("list", "node"))
+        if level:
+            discard(open_)
+        discard(pairs)
+        open_ = left
+    rest = open_.select("node").distinct().select("node", F.col("node").alias("region"), F.lit(0.0).alias("d"))
+    if homes is None:
+        return rest, rest.select(F.col("node").alias("a"), F.col("region").alias("b"))
+    return homes.union(rest), links
+
+
+def _cells(lists: DataFrame, state: DataFrame) -> DataFrame:
+    """Members (region, node, class, d, n, strange) of all regions in which sets of different classes may link.
+
+    ``strange`` marks those that the window brings from another region; their ``d`` is null.
+    """
+    sizes = state.groupBy("region").agg(F.count("*").alias("size"))
+    placed = lists.join(state.select("node", "region", "class"), "node")
+    mixed = placed.groupBy("list").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("list")
+    placed = materialize(placed.join(mixed, "list").join(sizes, "region").select("list", "node", "region", "class", "size"))
+    there = placed.groupBy("list", F.col("region").alias("to"), F.col("size").alias("most")).agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    moved = placed.join(there, "list").where("struct(size, region) < struct(most, to) and not (lo = hi and lo = class)")
+    members = placed.select("region", "node", F.lit(False).alias("strange")).union(moved.select("to", "node", F.lit(True))).distinct()
+    return members.join(state.select("node", "class", "n", F.col("region").alias("home"), "d"), "node").select("region", "node", "class", F.when(F.col("home") == F.col("region"), F.col("d")).alias("d"), "n", "strange")
+
+
+QUERY, BASE, PIVOT = 1, 2, 4
+
+
+def _joined(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between classes, a forest for each block, from the members of regions."""
+    members = materialize(members)
+    shares = members.groupBy("region", "class").agg(F.sum("n").alias("n"))
+    plans = shares.groupBy("region").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    plans = plans.select("region", F.col("main.class").alias("main"), blocks(F.col("n")).alias("bases"), F.greatest(F.lit(1), blocks(F.col("n") - F.col("main.n"))).alias("queries"))
+    dealt = members.join(plans, "region").withColumn("minor", F.col("class") != F.col("main"))
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    at = lambda k, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(k)).cast("int")
+    what = ["node", "class", "d", "strange", "minor"]
+    rows = dealt.where("minor").select("region", at("queries", 1).alias("q"), spread("bases").alias("p"), F.lit(QUERY).alias("role"), *what)
+    rows = rows.union(dealt.select("region", spread("queries").alias("q"), at("bases", 2).alias("p"), F.lit(BASE).alias("role"), *what))
+    heads = plans.select("region", spread("queries").alias("q"), "bases").select("region", "q", spread("bases").alias("p"))
+    rows = rows.union(heads.select("region", "q", "p", F.lit(PIVOT), F.col("region"), F.lit(None).cast("long"), F.lit(0.0), F.lit(None).cast("boolean"), F.lit(None).cast("boolean")))
+    rows = rows.groupBy("region", "q", "p", "node").agg(F.sum("role").alias("role"), *[F.max(c).alias(c) for c in what[1:]])
+    rows = rows.join(sets.select("node", "shingles"), "node").select("region", "q", "p", "node", "role", "class", "d", "strange", "minor", "shingles")
+
+    def compare(held: pa.Table) -> Iterator[tuple[int, int]]:
+        node, role = (held.column(c).to_numpy() for c in ("node", "role"))
+        sets = [s for chunk in held.column("shingles").chunks for s in _parts(chunk)]
+        n = np.array([len(s) for s in sets])
+        d = held.column("d").to_numpy(zero_copy_only=False).astype(float)
+        pivot = sets[int(np.flatnonzero(role & PIVOT)[0])]
+        for i in np.flatnonzero(np.isnan(d)):
+            inter = _overlap(sets[i], pivot)
+            d[i] = 1 - inter / (n[i] + len(pivot) - inter)
+        kind = held.column("class").fill_null(0).to_numpy()
+        strange, minor = (held.column(c).fill_null(False).to_numpy(zero_copy_only=False) for c in ("strange", "minor"))
+        base = (role & BASE) > 0
+        queries = np.flatnonzero(role & QUERY)
+        # of each shingle in the block the sets that hold it
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), n)
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        names, sizes = flat[begins], np.diff(np.append(begins, len(flat)))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = c = root.get(root[c], root[c])
+            return c
+
+        now = kind.copy()
+        for i in queries.tolist():
+            mine = find(int(kind[i]))
+            meet = base & (now != mine) & ~(strange & strange[i]) & (~minor | (node > node[i]))
+            meet &= (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (np.abs(d - d[i]) <= 1 - percent / 100 + 1e-9)
+            if not meet.any():
+                continue
+            place = np.searchsorted(names, sets[i])
+            inter = np.bincount(ragged(owner, begins[place], sizes[place]), minlength=len(sets))
+            for j in np.flatnonzero(meet & (100 * inter >= percent * (n + n[i] - inter))).tolist():
+                other, mine = find(int(kind[j])), find(mine)
+                if other != mine:
+                    root[other] = mine
+                    now[now == other] = mine
+                    yield int(kind[i]), int(kind[j])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
+        def closed(rows: list[pa.RecordBatch]):
+            table = pa.Table.from_batches(rows)
+            keys = np.stack([table.column(c).to_numpy() for c in ("region", "q", "p")])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+            out = [e for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True) for e in compare(table.slice(a, b - a).combine_chunks())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", order_sample: int = ORDER_SAMPLE, region: int = REGION) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cut = int(np.argmax((keys == keys[:, -1:]).all(0)))
+            if cut or held and any(held[-1].column(c)[-1].as_py() != keys[c, -1] for c in range(3)):
+                yield from closed([*held, batch.slice(0, cut)] if cut else held)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from closed(held)
+
+    return rows.repartition("region", "q", "p").sortWithinPartitions("region", "q", "p").mapInArrow(sweep, "a long, b long")
+
+
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", counted: float = COUNTED, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
     ``component_id`` is the least id reachable over links, the document's own included. Texts
     without words, and null ones, link with nothing. Rows with a null id link as others do; they
-    have the least id reachable, and null where only such rows are. Repeated rows are each returned. An empty table gives
-    an empty result; other columns are ignored.
+    have the least id reachable, and null where only such rows are. Repeated rows are each
+    returned, ties (equal sets) are one node, and long texts are sets like others. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = _frequent_in_sample(plain, plain.count(), words, order_sample)
-    table = materialize(_node_table(plain, frequent, words, percent))
+    size = plain.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    found = materialize(_own_shingles(plain, buckets, words, counted))
+    table = found.where("block is null").select("doc_id", F.col("n").alias("n_shingles"), "node", "h")
     nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
-
-    placed = table.select(F.explode("pivots").alias("pivot"), "node", F.col("n_shingles").alias("n"))
-    found, parts = materialize(_regions(placed, region)), []
-    for _ in range(SPLITS):
-        hot = found.where("hot")
-        crowded = _bounded(hot.groupBy(F.col("region").alias("shingle")).agg(F.count("*").alias("n")))
-        if not len(crowded):
-            break
-        parts.append(found.where("not hot"))
-        frequent = np.union1d(frequent, crowded)
-        again = _texts_of(hot.select("node").distinct(), nodes, plain, words)
-        fresh = _node_table(again.select(F.col("node").alias("doc_id"), "text"), frequent, words, percent)
-        found = materialize(_regions(fresh.select(F.explode("pivots").alias("pivot"), "node", F.col("n_shingles").alias("n")), region))
-    if parts:
-        hot = found.where("hot")
-        least = hot.groupBy("region").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).select("region", F.col("p.node").alias("name"))
-        parts.append(hot.join(least, "region").select(F.col("name").alias("region"), "node", "n", "hot"))
-    parts.append(found.where("not hot") if parts else found)
-    members = parts[0]
-    for part in parts[1:]:
-        members = members.union(part)
-    members = materialize(members.select("region", "node", "n").distinct())
-
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = members.groupBy("region").agg(*least)
-    pivots = materialize(pivots.select("region", F.array(*[F.struct(F.col(f"p{k}.node").alias("a"), F.col(f"p{k}.n").alias("m")) for k in range(PIVOTS)]).alias("p")))
-    near = members.join(pivots, "region").select("node", "n", F.explode(F.array_distinct("p")).alias("p")).select("node", "n", "p.*")
-    near = near.where((F.col("node") != F.col("a")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    first = _checked(near.select("a", F.col("node").alias("b")).distinct(), table, nodes, plain, percent, words)
-    linked = F.col("inter") * 100 >= percent * F.col("united")
-    labels = materialize(connected_components(first.where(linked)))
-
-    named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-    away = first.select("a", F.col("b").alias("node"), (1 - F.col("inter") / F.col("united")).alias("d"))
-    placed = named.join(several, "region").join(pivots.select("region", F.get("p", F.lit(0))["a"].alias("a")), "region").join(away, ["a", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("a"), 0.0).otherwise(F.col("d")))
-    placed = materialize(placed.select("region", "node", "n", "root", "d"))
-    seen = materialize(_sketches(placed.select("node").distinct(), table))
-    rest = _within_regions(placed, seen, percent).distinct()
-    done = first.select("a", "b").union(first.select("b", "a"))
-    second = _checked(rest.join(done, ["a", "b"], "left_anti"), table, nodes, plain, percent, words, sifted=True)
-    labels = materialize(connected_components(first.where(linked).union(second.where(linked))))
-
-    classes = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = found.where("block is not null").groupBy("node", "block").agg(F.sum("own").alias("own")).groupBy("node").agg(F.min("own").alias("own"))
+    wanted = materialize(nodes.join(own, "node").where(F.col("own") * 100 <= (100 - percent) * F.col("n")).select("node", "rep", "h"))
+    sets = materialize(_sets_of(wanted, plain, words))
+    lists = materialize(_lists(sets, percent))
+    regions, links = _regions(lists, sets, percent, depth)
+    labels = materialize(connected_components(links))
+    state = regions.join(labels, "node", "left").join(sets.select("node", "n"), "node").select("node", "region", "d", "n", F.coalesce("root", "node").alias("class"))
+    between = connected_components(_joined(_cells(lists, materialize(state)), sets, percent, block)).select(F.col("node").alias("class"), F.col("root").alias("top"))
+
+    classes = nodes.join(labels, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root").join(between, "class", "left").withColumn("root", F.coalesce("top", "class"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
     grouped = materialize(classes.join(least.drop("rows"), "root").select("node", "component_id"))
+    discard(sets, lists, wanted)
     out = table.select("doc_id", "n_shingles", "node").join(grouped, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, text) of one document per wanted node.
-
-    The ids are broadcast to the scan while they are few; beyond that both sides are shuffled.
-    Sets of rows without an id are found by the hash of a text.
-    """
-    chosen = materialize(wanted.join(nodes.select("node", "rep", "h"), "node"))
-    small = chosen.count() <= BROADCAST_IDS
-    ids = F.broadcast(chosen) if small else chosen
-    rows = docs.join(ids, F.col("doc_id") == F.col("rep")).select("node", "text")
-    if not chosen.where("rep is null").isEmpty():
-        nameless = docs.where("doc_id is null").join(ids.where("rep is null").select("node", "h"), F.xxhash64("text") == F.col("h"))
-        rows = rows.union(nameless.groupBy("node").agg(F.first("text").alias("text")))
-
-    def own(batches):  # an id that stands at several texts brings them all
-        for batch in in_slices(batches, 1):
-            fits = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in shingle_sets(batch.column(1), words)], np.uint64).view(np.int64)
-            yield batch.filter(pc.equal(batch.column(0), pa.array(fits)))
-
-    return rows.mapInArrow(own, "node long, text string")

@@ -56,7 +56,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.written_to = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        uri = getattr(df, "written_to", None)
+        if uri in _written:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _written.remove(uri)
 
 
 def give_back() -> None:
