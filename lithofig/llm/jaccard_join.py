@@ -3,13 +3,14 @@
 1. Sets on their own. A set can only link if three quarters of its shingles are shared. Shingles
    of a part of the hash space are counted over the whole corpus, and sets with too many of their
    own within that part have nothing within distance t and leave. Equal sets are one node.
-2. Index. Of the sets that stay the first n - ceil((1 - t) n) + 1 shingles in one common order are
-   listed. Two sets within t share a listed shingle, so all links lie within lists. The index only
-   finds pivots and neighbours; it decides nothing.
-3. Voronoi regions. Every list elects a document as pivot, distances to it are computed from whole
-   sets, and a set's region is that of its nearest pivot, if that is within ``REACH``. Sets
-   without a pivot in reach elect new ones among themselves, and so on; those that are left after
-   ``DEPTH`` rounds are pivots of regions of their own. Sets within t of a pivot are linked.
+2. Index. Of the sets that stay the first n - ceil((1 - t) n) + 1 shingles in one common order,
+   frequent ones last, are listed. Two sets within t share a listed shingle, so all links lie
+   within lists. The index only finds pivots and neighbours; it decides nothing.
+3. Voronoi regions. Every list elects a document as pivot, and distances to it are computed from
+   whole sets. A pivot within ``REACH`` of one with more sets in reach gives way. A set's region is
+   that of its nearest pivot, if that is within ``REACH``. Sets without a pivot in reach elect
+   new ones among themselves, and so on; what is left after ``DEPTH`` rounds goes to the nearest
+   pivot at any distance, or is alone. Sets within t of any pivot are linked.
 4. Windows. Where a list still holds several classes, a set is replicated to the larger regions of
    the list. Of two linked sets of different regions the one in the smaller is so brought to the other.
 5. Within a region sets of different classes are compared exactly, where sizes and the distances
@@ -43,6 +44,8 @@ BUCKET_BYTES = 32 << 20
 REACH = 0.5
 #: Rounds in which sets without a pivot in reach elect further ones.
 DEPTH = 4
+#: A shingle of so many of the sets that stay is frequent; of these, so many at most are broadcast. Any order is exact.
+FREQUENT, FREQUENT_MOST = 8, 1_000_000
 #: Sets measured against a pivot in one run.
 RUN = 64
 #: Shingles in a block when the sets of a region are compared.
@@ -224,15 +227,36 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), _signed(np.concatenate([sets[i] for i in keep])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(sizes), flat], names=["node", "n", "shingles"])
 
-    return rows.mapInArrow(own, "node long, n long, shingles array<long>").dropDuplicates(["node"])
+    sets = materialize(rows.mapInArrow(own, "node long, n long, shingles array<long>"))
+    return sets if sets.count() == wanted.count() else materialize(sets.dropDuplicates(["node"]))
 
 
-def _lists(sets: DataFrame, percent: int) -> DataFrame:
+def prefix_of(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles by which a set is listed: so many, frequent ones last, that no set that links misses all."""
+    n = len(shingles)
+    wanted = n - -(-percent * n // 100) + 1
+    if not len(frequent) or not n:
+        return shingles[:wanted] if n else shingles
+    late = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+    rare = shingles[~late]
+    return rare[:wanted] if len(rare) >= wanted else np.concatenate([rare, shingles[late][:wanted - len(rare)]])
+
+
+def _lists(sets: DataFrame, percent: int, least: int) -> DataFrame:
     """(list, node): sets that have a shingle of the index in common. Lists of the same sets are one."""
-    wanted = F.expr(f"int(n - ceil({percent} * n / 100) + 1)")
-    rows = sets.select(F.explode(F.slice("shingles", F.lit(1), wanted)).alias("list"), "node")
-    alike = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    kept = rows.groupBy("list").agg(*alike).where("k > 1").groupBy("k", "x", "y").agg(F.min("list").alias("list"))
+    counted = materialize(sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") >= least))
+    most = counted if counted.count() <= FREQUENT_MOST else counted.orderBy(F.desc("k"), "shingle").limit(FREQUENT_MOST)
+    frequent = sets.sparkSession.sparkContext.broadcast(np.sort(most.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
+
+    def listed(batches):
+        for batch in batches:
+            parts = [prefix_of(s, frequent.value, percent) for s in _parts(batch.column(1))]
+            if parts:
+                nodes = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(parts)), pa.array(nodes)], names=["list", "node"])
+
+    rows = sets.select("node", "shingles").mapInArrow(listed, "list long, node long")
+    kept = rows.groupBy("list").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x")).where("k > 1").groupBy("k", "x").agg(F.min("list").alias("list"))
     return rows.join(kept.select("list"), "list")
 
 
@@ -282,28 +306,32 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _regions(lists: DataFrame, sets: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """Regions (node, region, d) of all listed sets, and links (a, b) between pivots and sets."""
     size = sets.select("node", "n")
-    open_, homes, links = lists, None, None
+    none = lists.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("d")).limit(0)
+    homes, links, stay, open_ = none, none.select("a", "b"), none, lists
     for level in range(depth):
         pivots = open_.groupBy("list").agg(F.min(F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "node")).alias("p"), F.count("*").alias("k")).where("k > 1")
         pairs = open_.join(pivots.select("list", F.col("p.node").alias("a")), "list").select("a", F.col("node").alias("b")).distinct()
-        pairs = materialize(pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(size.withColumnRenamed("node", "b"), "b").where(F.least("n", "m") >= (1 - REACH) * F.greatest("n", "m")).select("a", "b"))
+        pairs = materialize(pairs)
         if pairs.isEmpty():
             break
-        far = materialize(_measured(pairs.where("a <> b"), sets))
-        own = pairs.where("a = b").select("b", F.lit(0.0).alias("d"), "a")
-        near = far.select("b", (1 - F.col("inter") / F.col("united")).alias("d"), "a").where(F.col("d") <= REACH).union(own)
-        home = materialize(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("p")).select(F.col("b").alias("node"), F.col("p.a").alias("region"), "p.d"))
-        link = far.where(F.col("inter") * 100 >= percent * F.col("united")).select("a", "b")
-        homes, links = (home, link) if homes is None else (homes.union(home), links.union(link))
-        left = materialize(open_.join(home, "node", "left_anti").select("list", "node"))
-        if level:
-            discard(open_)
-        discard(pairs)
+        sized = pairs.where("a <> b").join(size.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(size.withColumnRenamed("node", "b"), "b")
+        far = materialize(_measured(sized.where(F.least("n", "m") >= (1 - REACH) * F.greatest("n", "m")).select("a", "b"), sets))
+        links = links.union(far.where(F.col("inter") * 100 >= percent * F.col("united")).select("a", "b"))
+        apart = far.select("a", "b", (1 - F.col("inter") / F.col("united")).alias("d")).union(pairs.where("a = b").select("a", "b", F.lit(0.0)))
+        near = apart.where(F.col("d") <= REACH)
+        weight = near.groupBy("a").agg(F.count("*").alias("w"))
+        rivals = near.where("a <> b").join(weight, "a").join(weight.select(F.col("a").alias("b"), F.col("w").alias("v")), "b")
+        staying = materialize(weight.select("a").join(rivals.where("struct(w, a) > struct(v, b)").select(F.col("b").alias("a")), "a", "left_anti"))
+        stay = stay.union(apart.join(staying, "a").select("a", "b", "d"))
+        home = materialize(near.join(staying, "a").groupBy("b").agg(F.min(F.struct("d", "a")).alias("p")).select("p.a", "b", "p.d"))
+        homes = homes.union(home)
+        left = materialize(open_.join(home.select(F.col("b").alias("node")), "node", "left_anti").select("list", "node"))
+        discard(*[open_] * (level > 0))
         open_ = left
-    rest = open_.select("node").distinct().select("node", F.col("node").alias("region"), F.lit(0.0).alias("d"))
-    if homes is None:
-        return rest, rest.select(F.col("node").alias("a"), F.col("region").alias("b"))
-    return homes.union(rest), links
+    rest = open_.select("node").distinct()
+    nearest = stay.groupBy("b").agg(F.min(F.struct("d", "a")).alias("p"))
+    rest = rest.join(nearest, F.col("node") == F.col("b"), "left").select(F.coalesce("p.a", "node"), "node", F.coalesce("p.d", F.lit(0.0)))
+    return homes.union(rest).select(F.col("b").alias("node"), F.col("a").alias("region"), "d"), links
 
 
 def _cells(lists: DataFrame, state: DataFrame) -> DataFrame:
@@ -410,7 +438,7 @@ def _joined(members: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     return rows.repartition("region", "q", "p").sortWithinPartitions("region", "q", "p").mapInArrow(sweep, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", counted: float = COUNTED, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", counted: float = COUNTED, frequent: int = FREQUENT, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
     ``component_id`` is the least id reachable over links, the document's own included. Texts
@@ -427,8 +455,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id
     nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
     own = found.where("block is not null").groupBy("node", "block").agg(F.sum("own").alias("own")).groupBy("node").agg(F.min("own").alias("own"))
     wanted = materialize(nodes.join(own, "node").where(F.col("own") * 100 <= (100 - percent) * F.col("n")).select("node", "rep", "h"))
-    sets = materialize(_sets_of(wanted, plain, words))
-    lists = materialize(_lists(sets, percent))
+    sets = _sets_of(wanted, plain, words)
+    lists = materialize(_lists(sets, percent, frequent))
     regions, links = _regions(lists, sets, percent, depth)
     labels = materialize(connected_components(links))
     state = regions.join(labels, "node", "left").join(sets.select("node", "n"), "node").select("node", "region", "d", "n", F.coalesce("root", "node").alias("class"))

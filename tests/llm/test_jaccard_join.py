@@ -52,8 +52,8 @@ def made(seed, groups=25, big=0, common=0):
 ])
 def test_equals_brute_force(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for counted, depth, block in ((0.4, 4, 400_000), (1.0, 1, 1500), (0.0, 0, 400_000)):
-        got = sorted(tuple(r) for r in jaccard_join(df, counted=counted, depth=depth, block=block).collect())
+    for counted, frequent, depth, block in ((0.4, 8, 4, 400_000), (1.0, 2, 1, 1500), (0.0, 10**9, 0, 400_000)):
+        got = sorted(tuple(r) for r in jaccard_join(df, counted=counted, frequent=frequent, depth=depth, block=block).collect())
         assert got == brute(rows)
 
 
