@@ -125,7 +125,7 @@ def _own_shingles(docs: DataFrame, buckets: int, words: int, counted: float) ->
         for batch in in_slices(batches, 1):
             sets = shingle_sets(batch.column(1), words)
             nodes = np.array([node_of(s) for s in sets], np.uint64)
-            yield _rows(MET, len(sets), bucket=pa.array((nodes % np.uint64(buckets)).astype(np.int32)), doc_id=batch.column(0), h=batch.column(2), n=pa.array([len(s) for s in sets], pa.int64()), node=_signed(nodes))
+            yield _rows(MET, len(sets), bucket=pa.array(np.arange(len(sets)) % buckets), doc_id=batch.column(0), h=batch.column(2), n=pa.array([len(s) for s in sets], pa.int64()), node=_signed(nodes))
             fresh = []
             for i, node in enumerate(nodes.tolist()):
                 if node not in seen and len(sets[i]):
