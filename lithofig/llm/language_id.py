@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithofig.llm.shared import in_slices, sums_between, words_of
+from lithofig.llm.shared import by_text, sums_between, words_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: The model is fitted on at most so many labelled rows for each language, those with the least id hashes.
-SAMPLE_PER_LANGUAGE = 600
+#: The model is fitted on about so many labelled rows for each language, and so many in all.
+SAMPLE_PER_LANGUAGE, SAMPLE = 600, 60_000
 LONGEST = 4
 #: An unseen word counts as this share of a known one.
 BACKOFF_WEIGHT = 0.5
@@ -129,44 +129,48 @@ class LanguageModel:
         return names, np.where(counts > 0, shares.max(1), 0.0)
 
 
-def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
+def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> LanguageModel | None:
     """Fit on a bounded sample of the rows of ``labelled`` whose language is known; None without any.
 
-    The bound holds for each language: of each, the rows with the least hashes of their id. Every
-    language that occurs is learned; those with no more rows than the bound are taken at once.
+    Every language that occurs is learned, from about ``per_language`` different rows, or from
+    fewer where so many languages would pass ``most`` rows together. Rows are drawn by a hash of
+    id and text, in one pass, and only those drawn go to the driver. Rows that repeat id, text and
+    language count once.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).collect()
-    sample: list[tuple[str, str]] = []
-    whole = labelled.sparkSession.createDataFrame([(r[0],) for r in counts if r["n"] <= per_language], T.StructType([T.StructField("whole", labelled.schema[lang_col].dataType)]))
-    rest = known.join(F.broadcast(whole), F.col(lang_col) == F.col("whole"))
-    sample += [(r[0], r[1]) for r in rest.select(lang_col, text_col).collect()]
-    for row in (r for r in counts if r["n"] > per_language):
-        own = known.where(F.col(lang_col) == row[0]).select(lang_col, text_col, F.xxhash64(id_col).alias("h"))
-        sample += [(r[0], r[1]) for r in own.orderBy("h", text_col).limit(per_language).collect()]
-    return LanguageModel(sample) if sample else None
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    if not counts:
+        return None
+    wanted, span = max(1, min(per_language, most // len(counts))), float(1 << 62)
+    plan = labelled.sparkSession.createDataFrame([(r["lang"], int(min(1.0, wanted / r["n"]) * span)) for r in counts], T.StructType([T.StructField("lang", known.schema["lang"].dataType), T.StructField("below", T.LongType())]))
+    place = F.shiftrightunsigned("h", 2)
+    drawn = known.join(F.broadcast(plan), "lang").where(place < F.col("below"))
+    rows = drawn.dropDuplicates(["lang", "h"]).select("lang", "h", "text").collect()
+    sample = {(str(r["lang"]), r["h"], r["text"]): (r["lang"], r["text"]) for r in rows}
+    missed = {r["lang"] for r in counts} - {r["lang"] for r in rows}
+    if missed:  # of so few draws that none fell on a row: the row with the least hash
+        for r in known.where(F.col("lang").isin(list(missed))).groupBy("lang").agg(F.min(F.struct(place.alias("p"), "text")).alias("m")).collect():
+            sample[str(r["lang"]), r["m"]["p"], r["m"]["text"]] = (r["lang"], r["m"]["text"])
+    return LanguageModel([sample[k] for k in sorted(sample)])
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``lang_pred`` and ``score`` (0 to 1) instead.
 
     ``und`` with score 0 stands for texts that are null or hold no letter, and for all texts if
-    there is no model. Ties go to the first language by code point. Whole texts are read; columns
-    other than the text pass through, so a column named as a result must not be among them.
+    there is no model. Ties go to the first language by code point. Whole texts are read, however
+    long; repeated rows are each returned, and an empty table gives an empty result. Other columns
+    pass through, but ones that are named as a result are replaced by it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text_col]
-    chosen = docs.select(*others, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ("," if others else "") + " lang_pred string, score double"
-
-    def predict(batches):
-        for batch in in_slices(batches, len(others), 4 << 20):
-            texts = batch.column(batch.num_columns - 1)
-            if shared.value is None:
-                names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            else:
-                names, scores = shared.value.predict(texts)
-            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "lang_pred", "score"])
-
-    return chosen.mapInArrow(predict, schema)
+    others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+
+    def predict(texts: pa.Array) -> pa.Array:
+        if shared.value is None or not len(texts):
+            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        else:
+            names, scores = shared.value.predict(texts)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    said = docs.select(*others, by_text(predict, "lang_pred string, score double")(F.col(text_col)).alias("__said"))
+    return said.select(*others, "__said.lang_pred", "__said.score")

@@ -10,10 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithofig.llm.shared import in_slices, sums_between, words_of
+from lithofig.llm.shared import by_text, sums_between, words_of
 
 #: The field is fitted on at most so many labelled documents, those with the least id hashes.
 SAMPLE = 3000
@@ -187,23 +187,26 @@ def fit_line_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return LineField().fit(pa.array([r.text for r in rows], pa.string()), np.array([r.y for r in rows]))
 
 
-def score_quality(docs: DataFrame, field: LineField | None, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
+def quality_score(text: Column, field: LineField | None, spark: SparkSession) -> Column:
+    """The score of each text as a column: for docs that keep their columns, whatever their names."""
+    shared = spark.sparkContext.broadcast(field)
+
+    def score(texts: pa.Array) -> pa.Array:
+        if shared.value is None or not len(texts):
+            return pa.array(np.full(len(texts), 0.5))
+        return pa.array(shared.value.score(texts), pa.float64())
+
+    return by_text(score, "double")(text)
+
+
+def score_quality(docs: DataFrame, field: LineField | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 if the score reaches the threshold) instead of its text.
 
     Empty and null texts score the share of good documents in training; without a field every
-    score is 0.5. With ``keep_text`` the text stays. Other columns pass through, so none of them
-    may be named as a result.
+    score is 0.5. Repeated rows and ties score alike and are each returned; an empty table gives
+    an empty result; very long texts are scored whole. Other columns pass through, but ones that
+    are named as a result are replaced by it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field)
-    others = [c for c in docs.columns if keep_text or c != text_col]
-    chosen = docs.select(*others, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ("," if others else "") + " score double, predicted int"
-
-    def score(batches):
-        for batch in in_slices(batches, len(others), 4 << 20):
-            texts = batch.column(batch.num_columns - 1)
-            value = shared.value.score(texts) if shared.value is not None and batch.num_rows else np.full(batch.num_rows, 0.5)
-            columns = [*batch.columns[:-1], pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "score", "predicted"])
-
-    return chosen.mapInArrow(score, schema)
+    others = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
+    scored = docs.select(*others, quality_score(F.col(text_col), field, docs.sparkSession).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

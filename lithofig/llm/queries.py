@@ -128,9 +128,9 @@ from parts left join fits on fits.rid = parts.rid and place = 1
 
 MIX_SQL = """
 with recursive sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
+  select doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
 ), keyed as (
-  select *, -ln((('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / (0.5 + 0.5 * least(size, 100) / 100.0) as key from sized
+  select *, -ln((('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / (0.5 + 0.5 * least(size, 100) / 100.0) as key from sized
 ), sources as (
   select source, sum(size)::bigint as source_size, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint] as w from keyed group by source
 ), fill(step, level) as (
@@ -144,7 +144,7 @@ with recursive sized as (
 ), epochs as (
   select *, floor(target / source_size) as e, target - floor(target / source_size) * source_size as rest from plan
 ), placed as (
-  select k.*, p.source_size, p.target, p.e, p.rest, sum(size) over (partition by k.source order by key, doc_id, size) as stop
+  select k.*, p.source_size, p.target, p.e, p.rest, sum(size) over (partition by k.source order by key, doc_id, size rows unbounded preceding) as stop
   from keyed k join epochs p on k.source is not distinct from p.source
 )
 select doc_id, size, source_size, target, (size * (e + (case when stop - rest <= rest - (stop - size) then 1 else 0 end)))::bigint as taken,

@@ -6,12 +6,13 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[str] = []
@@ -97,6 +98,21 @@ def in_slices(batches, column: int, most: int = 4 << 20):
             give_back()
 
 
+def by_text(function: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """A column function for ``function``, which maps a batch of texts to one value each.
+
+    Only the text goes to Python, in slices, and only the value comes back; all other columns stay in the JVM.
+    """
+
+    @F.arrow_udf(kind)
+    def mapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [function(b.column(0)) for b in in_slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0)]
+            yield pa.concat_arrays(parts) if parts else function(texts)
+
+    return mapped
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words (runs without ASCII white space) of a batch of texts; null counts as empty.
 

@@ -37,6 +37,14 @@ HEAD_SIZE, FOOT_SIZE = struct.calcsize(HEAD), struct.calcsize(FOOT)
 
 #: In words of printable ASCII and Latin-1 letters the vocabulary's own splitting rule reads so.
 SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Texts on which an encoder compares its shortcuts with the whole tokenizer.
+PROBES = [
+    "The quick brown fox's dog can't jump, they've said; I'm sure you'll agree we're done.",
+    "CamelCase snake_case 12345 3.14 a1b2 x=y+z (foo)[bar]{baz} <tag/> #tag @me 50% a&b ~!^* `q`",
+    "  two  spaces\tand\na line\r\nend ",
+    "Ärger über Größe naïve façade ÀÖØÝÞ ßæçèéêëìíîïðñòóôõöøùúûüýþÿ don't DON'T it'S 'd'll",
+    " ".join(chr(c) for c in range(33, 127)) + " " + " ".join(f"a{chr(c)}B{chr(c)}{chr(c)}1" for c in range(33, 127)),
+]
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -50,7 +58,8 @@ class WordEncoder:
 
     Each distinct word of a batch is encoded once. Words of plain letters and signs go through the
     tokenizer's model piece by piece (pieces are remembered up to a bound); all others go through
-    the whole tokenizer. ``check`` compares both ways.
+    the whole tokenizer. Both shortcuts are tried on PROBES at the start, and a vocabulary that
+    splits or joins in another way is used without them: word by word, or on whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,10 +74,21 @@ class WordEncoder:
         self.bytewise = {ord(c): level.pre_tokenize_str(c)[0][0] for c in accents}
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.pieces: dict[str, list[int]] = {}
+        alone = {w: self._whole(w) for text in PROBES for w in text.split()}
+        self.by_word = all(self._whole(text) == [i for w in text.split() for i in alone[w]] for text in PROBES)
+        self.by_piece = True
+        try:
+            self.by_piece = all(self.word(w) == ids for w, ids in alone.items())
+        except Exception:  # noqa: BLE001  the model may know no such piece
+            self.by_piece = False
+        self.pieces.clear()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def word(self, word: str) -> list[int]:
-        if not SIMPLE.fullmatch(word) or any(s in word for s in self.special):
-            return self.whole.encode(word, add_special_tokens=False).ids
+        if not self.by_piece or not SIMPLE.fullmatch(word) or any(s in word for s in self.special):
+            return self._whole(word)
         found = PIECES.findall(word.lower())
         out: list[int] = []
         for piece in found:
@@ -83,6 +103,9 @@ class WordEncoder:
 
     def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the offsets of the texts in them."""
+        if not self.by_word:
+            each = [[*self._whole(t or ""), end_id] for t in texts.to_pylist()]
+            return np.array([i for ids in each for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(ids) for ids in each])]).astype(np.int64)
         codes, offsets, words = words_of(texts)
         flat: list[int] = []
         sizes = np.zeros(len(words) + 1, dtype=np.int64)
@@ -126,11 +149,12 @@ def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: i
 
     Rows are dealt out by ranges of the id and each task writes one shard and its index under a
     name of its own first, then renames it: a task that runs twice leaves one whole shard. A null
-    text counts as empty, a null id sorts first, rows with equal ids stand in the order of their
-    texts, and other columns are ignored. Returns the manifest, one row per shard.
+    text counts as empty, a null id sorts first, rows with equal ids stand in the order of a hash
+    of their texts, so that one id with very many texts is spread over shards as well. Very long
+    texts make long records; other columns are ignored. Returns the manifest, one row per shard.
     """
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = chosen.repartitionByRange("id").sortWithinPartitions("id", "text")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    ordered = chosen.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
@@ -139,7 +163,7 @@ def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: i
         name, own = f"{base}/shard-{shard:07d}", f"{base}/.{uuid.uuid4().hex}"
         kind, records, tokens, at, index = f"<u{enc.width}", 0, 0, 0, []
         sink = None
-        for batch in in_slices(batches, 1, 8 << 20):
+        for batch in in_slices(batches, 1, 2 << 20):
             if sink is None:
                 sink = store.open_output_stream(own)
                 sink.write(MAGIC + bytes([enc.width]))

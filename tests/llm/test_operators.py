@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lithofig.llm import decontaminate, language_id, mixing, quality_crf, secret_scan, token_counts, token_records, url_rules, vector_dedup
 from lithofig.llm.components import connected_components
@@ -191,7 +192,7 @@ def test_secret_scan_equals_brute_force(spark):
 
 
 def test_mixing(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BIN_ROWS", 7)
+    monkeypatch.setattr(mixing, "BINS", 7)
     rows = [(i, "w " * (i % 13), f"s{i % 3}" if i % 10 else None, 1) for i in range(400)] + [(900, None, "s0", 1), (None, "a b", "only", 1), (5, "w " * 5, "s2", 1)]
     got = mixing.mix_sources(docs(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs(spark, rows).repartition(5)).collect()), key=str)
@@ -206,6 +207,45 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix_sources(docs(spark, []).limit(0)).count() == 0
 
 
+def test_mixing_takes_as_many_repeated_rows_as_fit(spark):
+    rows = [(1, "w " * 10, "s", 1)] * 50 + [(None, None, "s", 1)] * 3
+    got = mixing.mix_sources(docs(spark, rows), share=1.39).collect()
+    assert sum(r.taken for r in got) in (690, 700) and sorted({r.copies for r in got if r["size"]}) == [1, 2]
+    kept = mixing.copies_of(docs(spark, rows), share=1.39)
+    assert kept.columns == ["doc_id", "text", "source", "n", "__copies"]
+    assert sorted(r["__copies"] for r in kept.collect()) == sorted(r.copies for r in got)
+    heavy = docs(spark, [(i, "w " * 5, "s", 1 + 99 * (i % 2)) for i in range(60)])
+    first = [r.doc_id % 2 for r in mixing.mix_sources(heavy, share=0.4, weight=F.col("n").cast("double")).collect() if r.taken]
+    assert len(first) == 24 and sum(first) >= 22
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "one two three", "s", "en", 1, 2, 0.5, True, "x", 3)] * 2 + [(None, None, None, None, None, None, None, None, None, None)],
+                                 "doc_id long, text string, source string, lang string, copies int, predicted int, score double, contaminated boolean, lang_pred string, items int")
+    bench = spark.createDataFrame([(9, "four five six seven")], "item_id long, text string")
+    assert decontaminate.find_leaks(rows, bench).columns == ["doc_id", "items", "overlap", "contaminated"]
+    scored = quality_crf.score_quality(rows, None)
+    assert scored.count() == 3 and scored.columns[-2:] == ["score", "predicted"] and len(set(scored.columns)) == len(scored.columns)
+    assert mixing.mix_sources(rows).columns == ["doc_id", "size", "source_size", "target", "taken", "copies"]
+    said = language_id.identify_language(rows, language_id.fit_language_model(rows))
+    assert said.count() == 3 and len(set(said.columns)) == len(said.columns)
+    assert token_records.token_records(rows, WORD, 1).count() == secret_scan.scan_secrets(rows).count() == 3
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(9, "four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kind = "doc_id long, text string, source string, predicted int, contaminated boolean, copies int, score double, items int, component_id int"
+    table = spark.createDataFrame([(1, "one two three", "s", 1, True, 1, 1.0, 1, 1), (2, None, None, None, None, None, None, None, None), (None, "", "s", 0, False, 0, 0.0, 0, 0)], kind)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for rows in (table, table.limit(0)):
+            out = stage(spark, rows, str(tmp_path))
+            assert out.columns == table.columns
+            assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in rows.collect()}
+
+
 def test_quality_field(spark):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("etaoinsh") for _ in range(rnd.randrange(2, 8)))
