@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithofig.llm.components import connected_components
-from lithofig.llm.shared import discard, give_back, in_slices, materialize, ragged, words_of
+from lithofig.llm.shared import bound_batches, discard, give_back, in_slices, materialize, ragged, words_of
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -447,6 +447,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id
     returned, ties (equal sets) are one node, and long texts are sets like others. An empty table
     gives an empty result; other columns are ignored, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithofig.llm.shared import by_text, sums_between, words_of
+from lithofig.llm.shared import bound_batches, by_text, sums_between, words_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: The model is fitted on about so many labelled rows for each language, and so many in all.
@@ -162,7 +162,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: st
     long; repeated rows are each returned, and an empty table gives an empty result. Other columns
     pass through, but ones that are named as a result are replaced by it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bound_batches(docs.sparkSession).sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
 
     def predict(texts: pa.Array) -> pa.Array:

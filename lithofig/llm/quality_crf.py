@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithofig.llm.shared import by_text, sums_between, words_of
+from lithofig.llm.shared import bound_batches, by_text, sums_between, words_of
 
 #: The field is fitted on at most so many labelled documents, those with the least id hashes.
 SAMPLE = 3000
@@ -189,7 +189,7 @@ def fit_line_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def quality_score(text: Column, field: LineField | None, spark: SparkSession) -> Column:
     """The score of each text as a column: for docs that keep their columns, whatever their names."""
-    shared = spark.sparkContext.broadcast(field)
+    shared = bound_batches(spark).sparkContext.broadcast(field)
 
     def score(texts: pa.Array) -> pa.Array:
         if shared.value is None or not len(texts):

@@ -15,6 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 _written: list[str] = []
 _libc = ctypes.CDLL(None)
 
@@ -72,6 +73,18 @@ def discard(*tables: DataFrame) -> None:
             _written.remove(uri)
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches of this session hold BATCH_BYTES at most, or less where it is set so.
+
+    Spark's own bound lets tens of megabytes of text wait in direct memory for each task. The
+    setting stays, as results are evaluated later.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
 def give_back() -> None:
     """Return freed memory to the system, as Python workers live on beside the executor's heap."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithofig.llm.shared import in_slices, open_store, ragged, shared_folder, words_of
+from lithofig.llm.shared import bound_batches, in_slices, open_store, ragged, shared_folder, words_of
 
 MAGIC = b"LITHOREC"
 MASK_DELTA = 0xA282EAD8
@@ -264,7 +264,7 @@ def token_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str | N
 
     An empty table gives no shard and an empty result.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     folder = folder or shared_folder(spark)
     manifest = sorted(write_token_records(docs, folder, vocabulary, end_id).collect())  # a row for each shard
     shards, before = [], 0
