@@ -257,7 +257,10 @@ def _lists(sets: DataFrame, percent: int, least: int) -> DataFrame:
 
     rows = sets.select("node", "shingles").mapInArrow(listed, "list long, node long")
     kept = rows.groupBy("list").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x")).where("k > 1").groupBy("k", "x").agg(F.min("list").alias("list"))
-    return rows.join(kept.select("list"), "list")
+    lists = materialize(rows.join(kept.select("list"), "list"))
+    discard(counted)
+    frequent.destroy()
+    return lists
 
 
 def _overlap(small: np.ndarray, large: np.ndarray) -> int:
@@ -457,7 +460,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id
     own = found.where("block is not null").groupBy("node", "block").agg(F.sum("own").alias("own")).groupBy("node").agg(F.min("own").alias("own"))
     wanted = materialize(nodes.join(own, "node").where(F.col("own") * 100 <= (100 - percent) * F.col("n")).select("node", "rep", "h"))
     sets = _sets_of(wanted, plain, words)
-    lists = materialize(_lists(sets, percent, frequent))
+    lists = _lists(sets, percent, frequent)
     regions, links = _regions(lists, sets, percent, depth)
     labels = materialize(connected_components(links))
     state = regions.join(labels, "node", "left").join(sets.select("node", "n"), "node").select("node", "region", "d", "n", F.coalesce("root", "node").alias("class"))

@@ -13,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithofig.llm.shared import bound_batches, by_text, sums_between, words_of
+from lithofig.llm.shared import bound_batches, by_text, give_back, sums_between, words_of
 
 #: The field is fitted on at most so many labelled documents, those with the least id hashes.
 SAMPLE = 3000
+#: Texts whose features are computed at once for the fit, which bounds the driver's memory.
+FIT_AT_ONCE = 100
 STEPS, RATE, RIDGE = 120, 0.1, 1e-3
 THRESHOLD = 0.3
 
@@ -128,7 +130,11 @@ class LineField:
 
     def fit(self, texts: pa.Array, quality: np.ndarray) -> LineField:
         """Maximise the likelihood of the lines, each labelled as its document, by Adam steps."""
-        features, length, lines = line_table(texts)
+        parts = [line_table(pa.concat_arrays([texts[:0], texts[i:i + FIT_AT_ONCE]])) for i in range(0, len(texts), FIT_AT_ONCE)]
+        features, length = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        lines = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+        del parts
+        give_back()
         sizes = np.diff(lines)
         label = np.repeat(quality, sizes).astype(np.float64)
         weight = np.repeat(1.0 / sizes, sizes)
@@ -184,7 +190,11 @@ def fit_line_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows.sort(key=lambda r: (r.id, r.y, r.text or ""))
     if not rows:
         return None
-    return LineField().fit(pa.array([r.text for r in rows], pa.string()), np.array([r.y for r in rows]))
+    texts, quality = pa.array([r.text for r in rows], pa.string()), np.array([r.y for r in rows])
+    del rows
+    field = LineField().fit(texts, quality)
+    give_back()
+    return field
 
 
 def quality_score(text: Column, field: LineField | None, spark: SparkSession) -> Column:
