@@ -40,6 +40,8 @@ PERCENT = 75
 COUNTED = 0.4
 #: Bytes of text whose shingles meet in one task of step 1.
 BUCKET_BYTES = 32 << 20
+#: Shingles that meet in one task when frequent ones are counted.
+BUCKET_SHINGLES = 4_000_000
 #: A set belongs to a pivot at this distance or less.
 REACH = 0.5
 #: Rounds in which sets without a pivot in reach elect further ones.
@@ -242,9 +244,32 @@ def prefix_of(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT
     return rare[:wanted] if len(rare) >= wanted else np.concatenate([rare, shingles[late][:wanted - len(rare)]])
 
 
+def _frequent(sets: DataFrame, least: int) -> DataFrame:
+    """(shingle, k) of the shingles that ``least`` sets or more hold. They meet by ranges, summed before."""
+    size = sets.agg(F.sum("n")).head()[0] or 0
+    buckets = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_SHINGLES))
+
+    def emit(batches):
+        for batch in batches:
+            names, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *_parts(batch.column(0))]), return_counts=True)
+            edges = np.searchsorted((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+            full = np.flatnonzero(edges[1:] > edges[:-1])
+            cut = lambda x: _buffers([x[edges[b]:edges[b + 1]] for b in full])
+            yield pa.RecordBatch.from_arrays([pa.array(full), cut(names), cut(counts.astype(np.uint32))], names=["bucket", "names", "counts"])
+
+    def meet(batches):
+        held = [(n, c) for batch in batches for n, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        if held:
+            names, at = np.unique(np.frombuffer(b"".join(n for n, _ in held), np.uint64), return_inverse=True)
+            k = np.bincount(at, np.frombuffer(b"".join(c for _, c in held), np.uint32)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([_signed(names[k >= least]), pa.array(k[k >= least])], names=["shingle", "k"])
+
+    return sets.select("shingles").mapInArrow(emit, "bucket long, names binary, counts binary").repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(meet, "shingle long, k long")
+
+
 def _lists(sets: DataFrame, percent: int, least: int) -> DataFrame:
     """(list, node): sets that have a shingle of the index in common. Lists of the same sets are one."""
-    counted = materialize(sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") >= least))
+    counted = materialize(_frequent(sets, least))
     most = counted if counted.count() <= FREQUENT_MOST else counted.orderBy(F.desc("k"), "shingle").limit(FREQUENT_MOST)
     frequent = sets.sparkSession.sparkContext.broadcast(np.sort(most.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
 

@@ -92,7 +92,7 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
-def in_slices(batches, column: int, most: int = 4 << 20):
+def in_slices(batches, column: int, most: int = 1 << 20):
     """Record batches cut so that the text of each has about ``most`` bytes, or is one row.
 
     Bounds what a Python worker holds, whatever the length of texts.

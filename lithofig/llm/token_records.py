@@ -57,7 +57,7 @@ class WordEncoder:
     """Encodes batches of whole texts with a vocabulary that never joins text across white space.
 
     Each distinct word of a batch is encoded once. Words of plain letters and signs go through the
-    tokenizer's model piece by piece (pieces are remembered up to a bound); all others go through
+    tokenizer's model piece by piece (words and pieces are remembered up to a bound); all others go through
     the whole tokenizer. Both shortcuts are tried on PROBES at the start, and a vocabulary that
     splits or joins in another way is used without them: word by word, or on whole texts.
     """
@@ -74,11 +74,12 @@ class WordEncoder:
         self.bytewise = {ord(c): level.pre_tokenize_str(c)[0][0] for c in accents}
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
         alone = {w: self._whole(w) for text in PROBES for w in text.split()}
         self.by_word = all(self._whole(text) == [i for w in text.split() for i in alone[w]] for text in PROBES)
         self.by_piece = True
         try:
-            self.by_piece = all(self.word(w) == ids for w, ids in alone.items())
+            self.by_piece = all(self._word(w) == ids for w, ids in alone.items())
         except Exception:  # noqa: BLE001  the model may know no such piece
             self.by_piece = False
         self.pieces.clear()
@@ -87,6 +88,14 @@ class WordEncoder:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def word(self, word: str) -> list[int]:
+        known = self.words.get(word)
+        if known is None:
+            if len(self.words) >= CACHED_PIECES:
+                self.words.clear()
+            known = self.words[word] = self._word(word)
+        return known
+
+    def _word(self, word: str) -> list[int]:
         if not self.by_piece or not SIMPLE.fullmatch(word) or any(s in word for s in self.special):
             return self._whole(word)
         found = PIECES.findall(word.lower())
@@ -163,7 +172,7 @@ def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: i
         name, own = f"{base}/shard-{shard:07d}", f"{base}/.{uuid.uuid4().hex}"
         kind, records, tokens, at, index = f"<u{enc.width}", 0, 0, 0, []
         sink = None
-        for batch in in_slices(batches, 1, 2 << 20):
+        for batch in in_slices(batches, 1):
             if sink is None:
                 sink = store.open_output_stream(own)
                 sink.write(MAGIC + bytes([enc.width]))
