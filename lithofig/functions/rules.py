@@ -6,10 +6,11 @@ for plain text. Patterns follow Java; ``rx`` adds Unicode classes and line ends
 
 from __future__ import annotations
 
-import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,14 +38,15 @@ def strip(column: Column) -> Column:
     return F.regexp_replace(column, rx(r"^\s+|\s+$"), "")
 
 
-@F.pandas_udf(StringType())
-def _nfkd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+@F.arrow_udf(StringType())
+def nfkd(texts: pa.Array) -> pa.Array:
+    """Unicode decomposition, a batch at a time; the column is named once, so what stands below runs once."""
+    return pc.utf8_normalize(texts, form="NFKD")
 
 
-def nfkd(column: Column) -> Column:
-    """Unicode decomposition; plain ASCII never leaves the JVM's expression."""
-    return F.when(column.rlike(r"^\p{ASCII}*$"), column).otherwise(_nfkd(F.when(~column.rlike(r"^\p{ASCII}*$"), column)))
+def once(column: Column, use) -> Column:
+    """``use`` applied to a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(column), use), 1)
 
 
 # The steps of the cleaning chains, in order.
@@ -85,11 +87,11 @@ EMBEDDING = [
 HONORIFICS = [(Literal(f" {h} "), f" {h.replace('.', '')} ") for h in ("mrs.", "ms.", "mr.", "dr.", "prof.", "dr.-ing.")]
 PLACEHOLDERS = [(rx(r"http\S+"), " hrefl "), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " email ")]
 LINES = [(rx(r"(-)?\n\d+\n+"), "$1 "), (Literal("\n"), " "), (Literal("|"), " "), (Literal("`"), " "), (Literal(":_"), " "), (Literal("_"), " "), *HONORIFICS]
-MATH_ENVIRONMENTS = ["equation", "align", "gather", "multline", "eqnarray"]
+MATH_ENVIRONMENTS = ["equation", "align", "gather", "multline", "flalign"]
 LATEX_HEAD = [
     (r"[&()\[\]§=,]", ""),
     (r"[`:_]", " "),
-    *[(r"\\text[a-z]*\{([^{}]*)\}", "$1")] * 10,
+    *[(r"\\text[a-z]+\{([^{}]*)\}", "$1")] * 10,
     (rx(r"\\begin\{figure\}.*?\\caption\{([^}]*)\}.*?\\end\{figure\}", "s"), "<caption_start>$1<caption_end>"),
     (rx(r"^\s*%.*$", "m"), ""),
     (rx(r"[^\\]%.*$", "m"), ""),
@@ -111,8 +113,8 @@ LATEX_HEAD = [
     (rx(r"\\\[.*?\\\]", "s"), ""),
     (rx(r"[~\s]*\\(ref|eqref|autoref|pageref)\{[^}]*\}"), ""),
     (rx(r"[~\s]*\\cite(t|p|author|year|alp|alt|num)?\{[^}]*\}\s*"), " "),
-    (r"[\[{⟨〈【「『〔（［｛]", "("),
-    (r"[\]}⟩〉】」』〕）］｝]", ")"),
+    (r"[\[{⟨〈⟪「『【〔⦃⦅]", "("),
+    (r"[\]}⟩〉⟫」』】〕⦄⦆]", ")"),
     (Literal("(("), "("),
     (Literal("))"), ")"),
     (Literal("\\"), ""),
@@ -150,7 +152,7 @@ PAGE_TAIL = [
     *PLACEHOLDERS,
 ]
 STAMP = rx(r"arxiv:.*?\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}\b[ ,]*")
-ALNUM = r"^[\pL\pN]+$"
+ALNUM = r"\A[\pL\pN]+\z"
 
 
 def clean_caption(text: Column) -> Column:
@@ -223,9 +225,8 @@ def latex_text_compat(text: Column) -> Column:
 def page_text(text: Column, page_number: Column) -> Column:
     """Running text of a page; the first page loses its stamp and what stands before the abstract."""
     body = fold(nfkd(fold(F.lower(text), PAGE)), PAGE_TAIL)
-    first = F.regexp_replace(body, STAMP, "")
-    at = F.locate("abstract", F.lower(first))
-    return F.when(page_number == 1, F.when(at > 0, F.substring(first, at, F.length(first))).otherwise(first)).otherwise(body)
+    whole = lambda t: once(F.locate("abstract", F.lower(t)), lambda at: F.when(at > 0, F.substring(t, at, F.length(t))).otherwise(t))
+    return once(body, lambda b: F.when(page_number == 1, once(F.regexp_replace(b, STAMP, ""), whole)).otherwise(b))
 
 
 # What ends a sentence and what does not.
@@ -239,11 +240,11 @@ def sentences(text: Column) -> Column:
 
 
 def figure_number(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?i)(?:Figure|Fig\.?)\s*(\d+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, rx(r"(?:Figure|Fig\.?)\s*(\d+)", "i"), 1), F.lit(""))
 
 
 def strip_figure_prefix(text: Column) -> Column:
-    return strip(F.coalesce(F.regexp_replace(text, r"(?i)^(?:Figure|Fig\.?)\s*\d+[:\.\s-]*\s*", ""), F.lit("")))
+    return strip(F.coalesce(F.regexp_replace(text, rx(r"^(?:Figure|Fig\.?)\s*\d+[:\.\s-]*\s*", "i"), ""), F.lit("")))
 
 
 # Gates (first match of each), boosts (first hit counts) and vetoes.
@@ -261,7 +262,7 @@ def gate_tags(text: Column) -> Column:
 
 
 def qubit_count(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(text), r"(\d+)\s*-?\s*qubits?", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(text), rx(r"(\d+)\s*-?\s*qubits?"), 1), F.lit(""))
 
 
 def boosted(score: Column, caption: Column, boosts=BOOSTS) -> Column:

@@ -12,8 +12,8 @@ from lithofig.functions.rules import clean_caption, strip
 # Environments and commands.
 BLOCK = r"(?s)\\begin\{(figure\*?|wrapfigure|subfigure)\}(.*?)\\end\{\1\}"
 LABEL = r"\\label\{([^}]+)\}"
-ANY_LABEL = r"(?s)\\begin\{(?:figure\*?|wrapfigure|subfigure)\}(?:\[[^\]]*\])?.*?\\label\{(.*?)\}.*?\\end\{(?:figure\*?|wrapfigure|subfigure)\}"
-CAPTION_START = r"\\caption(?:\[[^\]]*\])?\{"
+ANY_LABEL = r"(?s)\\begin\{(?:figure\*?|wrapfigure|subfigure).*?\}.*?\\label\{(.*?)\}.*?\\end\{(?:figure\*?|wrapfigure|subfigure).*?\}"
+CAPTION_START = r"\\caption(?:\[[^\]]*\])?\s*\{"
 REFERENCE = r"\\ref\{(.*?)\}"
 
 
@@ -32,15 +32,16 @@ def balanced_caption(blocks: pd.Series) -> pd.Series:
         for at in range(found.end(), len(block)):
             depth += (block[at] == "{") - (block[at] == "}")
             if not depth:
-                return block[found.end():at]
-        return block[found.end():-1]
+                return block[found.end():at].strip()
+        return block[found.end():-1].strip()
 
     return blocks.map(one)
 
 
 def native_caption(block: Column) -> Column:
     """The same for braces nested twice at most, without leaving the JVM."""
-    return F.nullif(F.regexp_extract(block, CAPTION_START + r"((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}", 1), F.lit(""))
+    body = CAPTION_START + r"((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+    return F.when(block.rlike(body), strip(F.regexp_extract(block, body, 1)))
 
 
 def joined_source(files: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def figure_blocks(docs: DataFrame, exact: bool = True) -> DataFrame:
 
 def caption_labels(blocks: DataFrame) -> DataFrame:
     """(paper_id, label, caption, label_ord): the last caption of a label at its first place."""
-    both = blocks.where("caption is not null and label is not null")
+    both = blocks.where("caption <> '' and label is not null")
     return both.groupBy("paper_id", "label").agg(F.max_by("caption", "block_ord").alias("caption"), F.min("block_ord").alias("label_ord"))
 
 
@@ -90,12 +91,15 @@ def first_references(docs: DataFrame) -> DataFrame:
 def caption_mentions(docs: DataFrame, exact: bool = True) -> DataFrame:
     """(paper_id, cap_idx, caption, mentions): captions, cleaned, with the paragraphs that refer to them.
 
-    Labels without a reference go; of labels with equal captions the last one's mentions stay at
+    Labels without a reference, and those that no figure's label list holds, go; a label that the
+    list repeats repeats its mentions. Of labels with equal captions the last one's mentions stay at
     the first one's place.
     """
     captions = caption_labels(figure_blocks(docs, exact))
     mention = F.struct("ref_ord", "start", "stop", clean_caption(F.col("description")).alias("description"))
+    listed = all_labels(docs).groupBy("paper_id", "label").agg(F.count("*").cast("int").alias("k"))
     refs = references(docs).groupBy("paper_id", "label").agg(F.array_sort(F.collect_list(mention)).alias("m"))
+    refs = refs.join(listed, ["paper_id", "label"]).select("paper_id", "label", F.flatten(F.array_repeat("m", F.col("k"))).alias("m"))
     both = captions.join(refs, ["paper_id", "label"]).withColumn("caption", clean_caption(F.col("caption")))
     last = both.groupBy("paper_id", "caption").agg(F.max_by("m", "label_ord").alias("m"), F.min("label_ord").alias("cap_idx"))
     return last.select("paper_id", "cap_idx", "caption", F.transform("m", lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["description"].alias("description"))).alias("mentions"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithofig.functions.rules import figure_number, strip_figure_prefix
+from lithofig.functions.rules import figure_number, rx, strip, strip_figure_prefix
 
-MENTION = r"(?i)\b(Fig(?:ure)?\.?\s*(\d+(?:\.\d+)?))\b"
+MENTION = rx(r"\b(Fig(?:ure)?\.?\s*(\d+(?:\.\d+)?))\b", "i")
 
 
 def nearest_captions(items: DataFrame, threshold: float = 250, keys: tuple[str, ...] = ("paper_id", "page_no")) -> DataFrame:
@@ -24,10 +24,10 @@ def assemble_figures(items: DataFrame, threshold: float = 250) -> DataFrame:
 
     ``items`` has paper_id, item_ord, kind, text, page_no, t, b, captions and image.
     """
-    own = F.nullif(F.trim(F.array_join("captions", " ")), F.lit(""))
+    own = F.nullif(strip(F.array_join("captions", " ")), F.lit(""))
     bare = items.where("kind = 'picture'").where(own.isNull()).select("paper_id", "page_no", "item_ord", "kind", "t", "b")
     near = nearest_captions(bare.union(items.where("kind = 'caption'").select("paper_id", "page_no", "item_ord", "kind", "t", "b")), threshold)
-    texts = items.where("kind = 'caption'").select("paper_id", "page_no", F.col("item_ord").alias("caption_ord"), F.trim("text").alias("spatial"))
+    texts = items.where("kind = 'caption'").select("paper_id", "page_no", F.col("item_ord").alias("caption_ord"), strip(F.col("text")).alias("spatial"))
     near = near.join(texts, ["paper_id", "page_no", "caption_ord"]).select("paper_id", "page_no", "item_ord", "spatial")
     found = items.where("kind = 'picture' and image is not null").join(near, ["paper_id", "page_no", "item_ord"], "left")
     found = found.withColumn("raw", F.coalesce(own, F.col("spatial"), F.lit(""))).withColumn("figure_number", figure_number(F.col("raw"))).where("figure_number is not null")
@@ -54,7 +54,7 @@ def mention_frames(sentences: DataFrame, caption: int = 3, description: int = 10
         "last_ord": F.last("sent_ord").over(w.rowsBetween(0, description - 1)),
         "figure": F.nullif(F.regexp_extract("sent", MENTION, 2), F.lit("")),
     })
-    return framed.where("figure is not null").select(*keys, "sent_ord", "last_ord", "figure", F.trim("caption").alias("caption"), F.trim("description").alias("description"))
+    return framed.where("figure is not null").select(*keys, "sent_ord", "last_ord", "figure", strip(F.col("caption")).alias("caption"), strip(F.col("description")).alias("description"))
 
 
 def figure_mentions(frames: DataFrame, paper: str = "paper_id", page: str = "page_number") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lithofig.functions.rules import clean_for_embeddings, gate_tags, normalize_caption, qubit_count, sentences
+from lithofig.functions.rules import clean_for_embeddings, gate_tags, normalize_caption, once, qubit_count, rx, sentences, strip
 
 
 @F.pandas_udf(DoubleType())
@@ -31,7 +32,11 @@ def match_figures(captions: DataFrame, figures: DataFrame, threshold: float = 0.
     first = lambda c: F.try_element_at(sentences(c), F.lit(1))
     left = captions.withColumn("a", first(F.col("caption")))
     right = figures.select(key, "fig_ord", "figure_number", "page_number", first(clean_for_embeddings(F.col("caption"))).alias("b"))
-    pairs = left.select(key, "cap_idx", "a").join(right, key).withColumn("score", ratio(normalize_caption(F.col("a")), normalize_caption(F.col("b"))))
+    pairs = left.select(key, "cap_idx", "a").join(right, key)
+    pairs = pairs.withColumns({"a": normalize_caption(F.col("a")), "b": normalize_caption(F.col("b"))})
+    # twice the shorter length over both bounds the ratio, which takes the figure's text first
+    short, both = F.least(F.length("a"), F.length("b")), F.length("a") + F.length("b")
+    pairs = pairs.where((both == 0) | (2 * short >= threshold * both)).withColumn("score", ratio(F.col("b"), F.col("a")))
     near = pairs.where(F.col("score") >= threshold).groupBy(key, "cap_idx").agg(F.min(F.struct("fig_ord", "figure_number", "page_number", "score")).alias("f"))
     return left.drop("a").join(near, [key, "cap_idx"], "left").select(*captions.columns, "f.figure_number", "f.page_number", F.col("f.score").alias("match_score"))
 
@@ -41,22 +46,56 @@ SPOILERS = ["gate", "qubit", "circuit", "wire", "line", "diagram"]
 
 
 def best_answers(answers: DataFrame, key: str = "record_id") -> DataFrame:
-    """Per record the best usable answer: (key, algorithm, score). ``answers`` has q_ord, answer and score."""
-    low = F.lower("answer")
-    fine = (F.size(F.split(F.trim("answer"), r"\s+")) <= 5) & (F.col("score") > 0.1)
+    """Per record the best usable answer: (key, algorithm, score). ``answers`` has q_ord, answer and score.
+
+    Answers of over five words are passed over before the best is taken.
+    """
+    low, short = F.lower("answer"), F.size(F.split(strip(F.col("answer")), rx(r"\s+"))) <= 5
+    fine = F.col("score") > 0.1
     for word in SPOILERS:
         fine &= ~F.contains(low, F.lit(word))
-    best = answers.where("score > 0").groupBy(key).agg(F.max_by(F.struct("answer", "score"), F.struct("score", -F.col("q_ord"))).alias("b")).select(key, "b.*")
+    best = answers.where((F.col("score") > 0) & short).groupBy(key).agg(F.max_by(F.struct("answer", "score"), F.struct("score", -F.col("q_ord"))).alias("b")).select(key, "b.*")
     return best.select(key, F.when(fine, F.col("answer")).alias("algorithm"), "score")
 
 
+# The questions that name an algorithm, in order, and the one that counts qubits.
+QUESTIONS = ["What is the name of the protocol?", "What is the name of the quantum algorithm?", "Which quantum ansatz is used?", "What acronym is mentioned?"]
+QUBIT_QUESTION = "How many qubits?"
+
+
+def ask(records: DataFrame, provider, key: str = "image_key", context: str = "context") -> DataFrame:
+    """(key, q_ord, answer, score) of all questions: ``provider`` maps Arrow arrays of questions and contexts to a struct array (answer, score).
+
+    The last question, of ``q_ord`` len(QUESTIONS), counts qubits.
+    """
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+    kind = StructType([StructField("answer", StringType()), StructField("score", DoubleType())])
+
+    def answered(question: pa.Array, text: pa.Array) -> pa.Array:
+        return provider(question, text)
+
+    rows = records.select(key, context, F.posexplode(F.array(*[F.lit(q) for q in [*QUESTIONS, QUBIT_QUESTION]])).alias("q_ord", "question"))
+    return rows.withColumn("a", F.arrow_udf(answered, kind)("question", context)).select(key, "q_ord", "a.answer", "a.score")
+
+
+def counted_qubits(answers: DataFrame, key: str = "image_key") -> DataFrame:
+    """(key, asked): answers to the qubit question that are trusted, short and hold a digit."""
+    fine = (F.col("q_ord") == len(QUESTIONS)) & (F.col("score") > 0.1) & (F.length("answer") < 5) & F.col("answer").rlike(rx(r"\d"))
+    return answers.where(fine).groupBy(key).agg(F.max_by("answer", "score").alias("asked"))
+
+
 def enrich(records: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """Records with gates, qubits and the algorithm of their joined description."""
+    """Records with gates, qubits and the algorithm of their joined description.
+
+    ``answers``, as from ``ask``, also give the qubits where the text names no number.
+    """
     text = F.array_join("description", " ")
     out = records.withColumns({"gates": gate_tags(text), "qubits": qubit_count(text)})
     if answers is None:
         return out.withColumn("algorithm", F.lit(None).cast("string"))
-    return out.join(best_answers(answers, "image_key").select("image_key", "algorithm"), "image_key", "left")
+    out = out.join(best_answers(answers.where(F.col("q_ord") < len(QUESTIONS)), "image_key").select("image_key", "algorithm"), "image_key", "left")
+    return out.join(counted_qubits(answers), "image_key", "left").withColumn("qubits", F.coalesce("qubits", "asked")).drop("asked")
 
 
 def images_per_paper(records: DataFrame, papers: DataFrame, processed: DataFrame) -> DataFrame:
@@ -104,6 +143,8 @@ def top_keywords(lines: DataFrame, stop_words: list[str], top: int = 50, longest
         return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     grams = F.flatten(F.array(*[grams_of(n) for n in range(1, longest + 1)]))
-    per_line = rows.select("line", F.explode(grams).alias("term")).groupBy("line", "term").agg(F.count("*").alias("n"))
-    counted = per_line.groupBy("term").agg(F.sum("n").alias("cnt"), F.count("*").alias("lines")).where(F.col("lines") >= least)
+    # a line is one row: its terms are sorted and counted in place, and shuffled once, by term
+    ends = lambda g, i: F.coalesce((F.get(g, i + 1) != F.get(g, i)).cast("long"), F.lit(1).cast("long"))
+    ordered = once(F.sort_array(grams), lambda g: F.transform(g, lambda x, i: F.struct(x.alias("term"), ends(g, i).alias("last"))))
+    counted = rows.select(F.inline(ordered)).groupBy("term").agg(F.count("*").alias("cnt"), F.sum("last").alias("lines")).where(F.col("lines") >= least)
     return counted.orderBy(F.desc("cnt"), F.desc("term")).limit(top).select("term", "cnt", term_boost(F.col("term")).alias("boost"))

@@ -23,7 +23,9 @@ def norm(a: Column | str) -> Column:
 
 
 def normalized(a: Column | str) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-12)))
+    # the norm is taken once, not once for each element
+    pair = F.array(F.struct(F.greatest(norm(a), F.lit(1e-12)).alias("n"), (F.col(a) if isinstance(a, str) else a).alias("v")))
+    return F.element_at(F.transform(pair, lambda p: F.transform(p["v"], lambda x: x.cast("double") / p["n"])), 1)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -42,8 +44,11 @@ def _greatest_dot(shared):
     @F.pandas_udf(DoubleType())
     def most(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            rows = np.array(batch.tolist(), dtype=np.float64)
-            yield pd.Series((rows @ shared.value.T).max(1) if len(shared.value) and len(rows) else np.full(len(batch), np.nan))
+            anchors, out = shared.value, np.full(len(batch), np.nan)
+            fits = [i for i, v in enumerate(batch) if v is not None and len(anchors) and len(v) == anchors.shape[1]]
+            if fits:
+                out[fits] = (np.array([batch.iloc[i] for i in fits], dtype=np.float64) @ anchors.T).max(1)
+            yield pd.Series([None if np.isnan(x) else x for x in out], dtype="Float64").astype(object)
 
     return most
 

@@ -18,18 +18,18 @@ ORACLES: dict = {}
 
 LATEX_DOCS = """select doc_id as paper_id, concat(
  chr(92),'documentclass{article}',chr(10),chr(92),'begin{document}',chr(10),chr(10),
- translate(substr(text,1,300),'{}',''),chr(10),chr(10),
+ translate(substr(coalesce(text,''),1,300),'{}',''),chr(10),chr(10),
  chr(92),'begin{figure}',chr(10),chr(92),'caption{Figure ',cast(doc_id%9+1 as varchar(20)),': ',
-   translate(substr(text,1,60),'{}',''),'}',chr(10),
+   translate(substr(coalesce(text,''),1,60),'{}',''),'}',chr(10),
  chr(92),'label{fig:',cast(doc_id as varchar(20)),'}',chr(10),chr(92),'end{figure}',chr(10),chr(10),
  'See ',case when doc_id%4=0 then 'nothing'
              else concat(chr(92),'ref{fig:',cast(doc_id as varchar(20)),'}') end,
  case when doc_id%3=0 and doc_id%4<>0
       then concat(' and ',chr(92),'ref{fig:',cast(doc_id as varchar(20)),'}') else '' end,
  ' with ',cast(doc_id%7+2 as varchar(20)),' qubits and a cnot gate. ',
- translate(substr(text,301,300),'{}',''),chr(10),chr(10),'End.',chr(10),
+ translate(substr(coalesce(text,''),301),'{}',''),chr(10),chr(10),'End.',chr(10),
  chr(92),'end{document}') as content
-from documents where lang='en'"""
+from documents"""
 LAYOUT_ITEMS = """select *, cast(row_number() over (partition by page_no order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as item_ord from (
  select l_orderkey as page_no, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
  case when l_linenumber%2=1 then 'picture' else 'caption' end as kind,
@@ -129,7 +129,7 @@ def figure_number_and_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("paper_id", rules.figure_number(F.col("caption")).alias("figure_number"), rules.strip_figure_prefix(F.col("caption")).alias("caption"))
 
 
-BLOCK_SQL = f"""select paper_id, 0 as block_ord, regexp_extract(content, '\\\\caption\\{{([^}}]*)\\}}', 1) as caption, regexp_extract(content, '\\\\label\\{{([^}}]+)\\}}', 1) as label from ({LATEX_DOCS})"""
+BLOCK_SQL = f"""select paper_id, 0 as block_ord, regexp_replace(regexp_extract(content, '\\\\caption\\{{([^}}]*)\\}}', 1), '^\\s+|\\s+$', '', 'g') as caption, regexp_extract(content, '\\\\label\\{{([^}}]+)\\}}', 1) as label from ({LATEX_DOCS})"""
 
 
 @query(BLOCK_SQL)
@@ -244,7 +244,11 @@ def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.last_wins(items, ["page_no", "kind"], "item_ord")
 
 
-@query()
+@query(f"""with i as (select *, page_no::varchar as paper_id from ({LAYOUT_ITEMS})), n as (
+select p.paper_id, p.item_ord, c.l_linenumber as number, c.l_partkey as part, row_number() over (partition by p.paper_id, p.item_ord order by least(abs(p.b - c.t), abs(p.t - c.b)), c.item_ord) as k
+from i p join i c on p.paper_id = c.paper_id and p.kind = 'picture' and c.kind = 'caption' where least(abs(p.b - c.t), abs(p.t - c.b)) < 250)
+select paper_id, paper_id || '_' || number || '.png' as figure_name, min(item_ord) as fig_ord, number::varchar as figure_number, arg_max('part ' || part, item_ord) as caption, 1 as page_number
+from n where k = 1 group by paper_id, number""")
 def assembled_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _derived(spark, sf_dir, LAYOUT_ITEMS, "lineitem").select(
         F.col("page_no").cast("string").alias("paper_id"), "item_ord", "kind", F.concat(F.lit("Figure "), F.col("l_linenumber"), F.lit(": part "), "l_partkey").alias("text"),
@@ -260,11 +264,11 @@ def fuzzy_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "[.] ")).alias("sent_ord", "s"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.] ")).alias("sent_ord", "s"))
     return rows.select("doc_id", "sent_ord", F.when(F.col("sent_ord") % 5 == 0, F.concat(F.lit("Fig. "), (F.col("sent_ord") % 3 + 1).cast("string"), F.lit(" "), "s")).otherwise(F.col("s")).alias("sent"))
 
 
-SENTENCE_SQL = """with s as (select doc_id, unnest(string_split(text, '. ')) as s, (generate_subscripts(string_split(text, '. '), 1) - 1)::integer as sent_ord from documents where lang = 'en'),
+SENTENCE_SQL = """with s as (select doc_id, unnest(string_split(text, '. ')) as s, (generate_subscripts(string_split(text, '. '), 1) - 1)::integer as sent_ord from documents),
 m as (select doc_id, sent_ord, case when sent_ord % 5 = 0 then concat('Fig. ', (sent_ord % 3 + 1)::varchar, ' ', s) else s end as sent from s),
 f as (select *, trim(string_agg(sent, ' ') over (partition by doc_id order by sent_ord rows between current row and 2 following), ' ') as caption,
 trim(string_agg(sent, ' ') over (partition by doc_id order by sent_ord rows between current row and 9 following), ' ') as description,
@@ -289,27 +293,27 @@ def gates_and_qubits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("paper_id", rules.qubit_count(F.col("content")).alias("qubits"), F.array_join(rules.gate_tags(F.col("content")), ",").alias("gates"))
 
 
-@query("""with a as (select user_id as record_id, event_id as q_ord, event_type as answer, value / (select max(value) from events) as score from events),
-b as (select record_id, answer, score, row_number() over (partition by record_id order by score desc, q_ord) as k from a where score > 0)
+@query("""with a as (select user_id as record_id, event_id as q_ord, case when event_id % 7 = 0 then 'one two three four five ' || event_type else event_type end as answer, value / (select max(value) from events) as score from events),
+b as (select record_id, answer, score, row_number() over (partition by record_id order by score desc, q_ord) as k from a where score > 0 and answer not like '% %')
 select record_id, case when score > 0.1 and not contains(lower(answer), 'line') then answer end as algorithm, round(score, 9) as score from b where k = 1""")
 def qa_best_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     most = events.agg(F.max("value").alias("most"))
-    answers = events.join(F.broadcast(most)).select(F.col("user_id").alias("record_id"), F.col("event_id").alias("q_ord"), F.col("event_type").alias("answer"), (F.col("value") / F.col("most")).alias("score"))
+    answers = events.join(F.broadcast(most)).select(F.col("user_id").alias("record_id"), F.col("event_id").alias("q_ord"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("one two three four five "), "event_type")).otherwise(F.col("event_type")).alias("answer"), (F.col("value") / F.col("most")).alias("score"))
     return match.best_answers(answers).withColumn("score", F.round("score", 9))
 
 
 STOP = ["the", "and", "of", "to", "in"]
 
 
-@query("""with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN_]{2,}', 0), lambda x: x not in ('the', 'and', 'of', 'to', 'in')) as w from documents where lang = 'en'),
+@query("""with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN_]{2,}', 0), lambda x: x not in ('the', 'and', 'of', 'to', 'in')) as w from documents),
 g as (select doc_id, w[i] as term from w, unnest(range(1, len(w) + 1)) t(i) union all select doc_id, w[i] || ' ' || w[i + 1] from w, unnest(range(1, len(w))) t(i)
 union all select doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from w, unnest(range(1, len(w) - 1)) t(i)),
 c as (select term, count(*)::bigint as cnt from g group by term having count(distinct doc_id) >= 2)
 select term, cnt, case when term in ('qiskit', 'cirq', 'ansatz', 'unitary', 'qubit') then 0.15 when not contains(term, ' ') then 0.05 when contains(term, 'quantum') or contains(term, 'circuit') then 0.10 else 0.15 end::double as boost
 from c order by cnt desc, term desc limit 50""")
 def ngram_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.top_keywords(_table(spark, sf_dir, "documents").where("lang = 'en'"), STOP, key="doc_id")
+    return match.top_keywords(_table(spark, sf_dir, "documents"), STOP, key="doc_id")
 
 
 @query("""select d.doc_id::varchar as paper_id, case when l.doc_id is not null then coalesce(n, 0) end::bigint as "No_Img" from documents d left join (select distinct doc_id from labels) l using (doc_id)

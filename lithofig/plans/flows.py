@@ -34,11 +34,15 @@ def build_anchors(seeds: DataFrame, candidates: DataFrame, threshold: float = 0.
     return anchors, centroid(anchors, "vec")
 
 
-def mine_pages(sentences: DataFrame, anchors: DataFrame, encoder, threshold: float = 0.94) -> DataFrame:
-    """Figures of page text whose captions are selected."""
+def mine_pages(sentences: DataFrame, anchors: DataFrame, encoder, threshold: float = 0.94, images: DataFrame | None = None) -> DataFrame:
+    """Figures of page text whose captions are selected, by the key of their image; of equal keys the last one stays."""
     figures = figure_mentions(mention_frames(sentences))
     scored = max_anchor_score(encoder(figures.withColumnRenamed("descriptions", "description")), anchors)
-    return enrich(select_captions(scored, threshold).withColumn("image_key", F.concat("paper_id", F.lit("_"), "figure_label", F.lit(".png"))))
+    number = F.regexp_replace("figure_label", "^Figure_", "")
+    keyed = select_captions(scored, threshold).withColumns({"image_key": F.concat("paper_id", F.lit("_"), number, F.lit(".png")), "place": F.struct("caption_page", "figure_label")})
+    if images is not None:
+        keyed = keyed.join(images.select(F.col("figure_name").alias("image_key")), "image_key", "left_semi")
+    return enrich(last_wins(keyed, ["image_key"], "place").drop("place"))
 
 
 def route(pages: DataFrame | None, latex: DataFrame | None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,32 +28,48 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latex(spark: SparkSession, folder: str) -> DataFrame:
-    """(paper_id, path, content) of the .tex files right below each paper's folder; broken UTF-8 is left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tex").load(folder)
+    """(paper_id, path, content) of the .tex files right below each paper's folder in ``folder``; broken UTF-8 is left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tex").load(f"{folder.rstrip('/')}/*")
     text = F.expr("try_validate_utf8(cast(content as string))")
     rows = files.select(F.element_at(F.split("path", "/"), -2).alias("paper_id"), "path", F.regexp_replace(text, r"\r\n?", "\n").alias("content"))
     return rows.where("content is not null")
 
 
+def member_text(archive: bytes, member: tarfile.TarInfo) -> str | None:
+    """A member's text with line ends that are newlines only; None if it is no UTF-8."""
+    with tarfile.open(fileobj=io.BytesIO(archive)) as whole:
+        raw = whole.extractfile(member).read()
+    try:
+        return raw.decode().replace("\r\n", "\n").replace("\r", "\n")
+    except UnicodeDecodeError:
+        return None
+
+
+def with_both_sources(ids: DataFrame, latex: DataFrame, pdf: DataFrame) -> DataFrame:
+    """Papers whose LaTeX folder and PDF are both there."""
+    return ids.join(latex.select("paper_id").distinct(), "paper_id", "left_semi").join(pdf.select("paper_id").distinct(), "paper_id", "left_semi")
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(paper_id, path, content) of the .tex members of tar files, read in memory; nothing is unpacked to disk."""
+    """(paper_id, path, content) of the .tex members of tar files, read in memory; nothing is unpacked to disk.
+
+    Of an archive that breaks off, or is none, what stands before the fault is kept.
+    """
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
 
     def expand(batches):
         for batch in batches:
             out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    archive = tarfile.open(fileobj=io.BytesIO(content))
-                except tarfile.TarError:
-                    continue
                 paper = path.rsplit("/", 1)[-1].split(".tar")[0].removesuffix(".gz").removesuffix(".tgz")
-                for member in archive:
-                    if member.isfile() and member.name.endswith(".tex"):
-                        try:
-                            out.append((paper, member.name, archive.extractfile(member).read().decode().replace("\r\n", "\n").replace("\r", "\n")))
-                        except UnicodeDecodeError:
-                            continue
+                try:
+                    for member in tarfile.open(fileobj=io.BytesIO(content)):
+                        if member.isfile() and member.name.endswith(".tex"):
+                            text = member_text(content, member)
+                            if text is not None:
+                                out.append((paper, member.name, text))
+                except (tarfile.TarError, EOFError, OSError, zlib.error):
+                    pass
             yield pd.DataFrame(out, columns=["paper_id", "path", "content"])
 
     return files.mapInPandas(expand, "paper_id string, path string, content string")
@@ -76,9 +93,14 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_figures(spark: SparkSession, path: str) -> DataFrame:
-    """Figure metadata files, one array for each paper: (paper_id, fig_ord, caption, figure_number, page_number)."""
-    rows = spark.read.schema("paper_id string, fig_ord int, " + FIGURES).option("multiLine", True).json(path)
-    return rows.withColumns({"caption": F.coalesce("caption", F.lit("")), "page_number": F.expr("try_cast(page_number as int)")})
+    """Figure metadata, an array for each paper: (paper_id, fig_ord, figure_name, figure_number, caption, page_number).
+
+    The ordinal is the place in the array; the paper is the partition or the file's name.
+    """
+    files = spark.read.text(path, wholetext=True)
+    named = files.withColumn("paper_id", F.col("paper_id").cast("string")) if "paper_id" in files.columns else files.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1))
+    rows = named.select("paper_id", F.posexplode(F.from_json("value", f"array<struct<{FIGURES.replace(' ', ':').replace(',:', ',')}>>")).alias("fig_ord", "f"))
+    return rows.select("paper_id", "fig_ord", "f.figure_name", "f.figure_number", F.coalesce("f.caption", F.lit("")).alias("caption"), F.expr("try_cast(f.page_number as int)").alias("page_number"))
 
 
 def read_anchors(spark: SparkSession, path: str) -> DataFrame:

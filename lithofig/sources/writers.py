@@ -24,7 +24,10 @@ def write_counts(counts: DataFrame, path: str) -> None:
 
 
 def write_figures(figures: DataFrame, path: str) -> None:
-    figures.drop("image").write.mode("overwrite").partitionBy("paper_id").json(path)
+    """One array of figures, in their order, for each paper, under the paper's own partition."""
+    entry = F.struct("fig_ord", F.struct("figure_name", "figure_number", "caption", F.col("page_number").cast("string").alias("page_number")).alias("f"))
+    arrays = figures.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["f"]).alias("all"))
+    arrays.select("paper_id", F.to_json("all").alias("value")).write.mode("overwrite").partitionBy("paper_id").text(path)
 
 
 def write_anchors(anchors: DataFrame, path: str) -> None:

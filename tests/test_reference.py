@@ -137,3 +137,78 @@ def test_flow(spark):
     kept, mean = flows.build_anchors(anchors, spark.createDataFrame([(0, "t", [0.9, 0.1]), (1, "u", [0.0, 1.0])], anchors.schema))
     assert kept.count() == 2 and mean.first()[0] == pytest.approx([0.95, 0.05])
     assert vectors.centroid(kept, "vec", unit=True).first()[0][0] == pytest.approx(0.95 / (0.95**2 + 0.05**2) ** 0.5)
+
+
+def test_probed_departures(spark):
+    """Values worked out by hand from the rules as they are stated."""
+    value = lambda column: spark.range(1).select(column.alias("v")).head()[0]
+    text = lambda t: F.lit(t)
+    assert value(rules.figure_number(text("Fig.\u00a03 shows"))) == "3"
+    assert value(rules.strip_figure_prefix(text("Fig.\u00a03: A circuit"))) == "A circuit"
+    assert value(rules.qubit_count(text("with 5\u00a0qubits"))) == "5"
+    assert value(rules.sentenize(text("foo\n bar"))) == [["bar"]]
+    assert "keep" in value(rules.latex_text(text(r"a \begin{eqnarray} keep \end{eqnarray} b")))
+    assert "gone" not in value(rules.latex_text(text(r"a \begin{flalign} gone \end{flalign} b")))
+    assert value(rules.fold(text("⟪a⟫ ⦃b⦄ ⦅c⦆ （d）"), rules.LATEX_HEAD)) == "(a) (b) (c) （d）"
+    assert value(rules.fold(text(r"\text{a} \textbf{b}"), rules.LATEX_HEAD)) == "text(a) b"
+    source = "\\begin{figure}\n\\caption[short] { A {nested} caption }\n\\label{fig:a}\\end{figure}\n\\begin{figure}\\caption{ }\\label{fig:b}\\end{figure}"
+    docs = spark.createDataFrame([("p", source)], "paper_id string, content string")
+    for exact in (True, False):
+        blocks = {r.label: r.caption for r in latex.figure_blocks(docs, exact).collect()}
+        assert blocks == {"fig:a": "A {nested} caption", "fig:b": ""}
+        assert [r.label for r in latex.caption_labels(latex.figure_blocks(docs, exact)).collect()] == ["fig:a"]
+    captions = spark.createDataFrame([("p", 0, "tide")], "paper_id string, cap_idx int, caption string")
+    figures = spark.createDataFrame([("p", 0, "1", 2, "diet words")], "paper_id string, fig_ord int, figure_number string, page_number int, caption string")
+    pair = spark.createDataFrame([("diet", "tide"), ("tide", "diet")], "a string, b string")
+    assert [r[0] for r in pair.select(match.ratio("a", "b")).collect()] == [0.5, 0.25]
+    assert match.match_figures(captions, figures, 0.25).head().figure_number == "1"
+    answers = spark.createDataFrame([(1, 0, "a very long answer of many words", 0.9), (1, 1, "grover", 0.5), (2, 0, "a gate", 0.8), (3, 1, "shor", 0.05)], "record_id int, q_ord int, answer string, score double")
+    assert {r.record_id: r.algorithm for r in match.best_answers(answers).collect()} == {1: "grover", 2: None, 3: None}
+    frames = spark.createDataFrame([("p", 1, 0, "Fig.\u00a02 shows it. \n")], "paper_id string, page_number int, sent_ord int, sent string")
+    got = layout.mention_frames(frames).head()
+    assert got.figure == "2" and got.caption == "Fig.\u00a02 shows it."
+
+
+def test_label_list_and_questions(spark):
+    source = "Intro \\ref{fig:a} and \\ref{eq:1}.\n\n\\begin{figure}\\caption{One}\\label{fig:a}\\end{figure}\n\\begin{figure}\\caption{Two}\\label{fig:a}\\end{figure}\n\\label{eq:1}"
+    docs = spark.createDataFrame([("p", source)], "paper_id string, content string")
+    rows = latex.caption_mentions(docs).collect()
+    assert [(r.caption, len(r.mentions)) for r in rows] == [("two", 2)]
+
+    def provider(questions, contexts):
+        import pyarrow as pa
+
+        said = ["4" if q == match.QUBIT_QUESTION else "grover" for q in questions.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(said), pa.array([0.6] * len(said))], names=["answer", "score"])
+
+    records = spark.createDataFrame([("k", ["A cnot circuit."]), ("l", ["Uses 7 qubits."])], "image_key string, description array<string>")
+    answers = match.ask(records.withColumn("context", F.array_join("description", " ")), provider)
+    got = {r.image_key: (r.algorithm, r.qubits, r.gates) for r in match.enrich(records, answers).collect()}
+    assert got == {"k": ("grover", "4", ["cnot"]), "l": ("grover", "7", [])}
+
+
+def test_source_round_trips(spark, tmp_path):
+    for paper, name in (("p1", "a.tex"), ("p2", "b.tex"), ("p2", "c.txt")):
+        (tmp_path / "latex" / paper).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "latex" / paper / name).write_bytes(b"x\r\ny")
+    assert sorted((r.paper_id, r.content) for r in readers.read_latex(spark, str(tmp_path / "latex")).collect()) == [("p1", "x\ny"), ("p2", "x\ny")]
+    made = io.BytesIO()
+    with tarfile.open(fileobj=made, mode="w:gz") as tar:
+        for k in range(2):
+            info = tarfile.TarInfo(f"{k}.tex")
+            info.size = 4
+            tar.addfile(info, io.BytesIO(b"text"))
+    (tmp_path / "tars").mkdir()
+    (tmp_path / "tars" / "whole.tar.gz").write_bytes(made.getvalue())
+    (tmp_path / "tars" / "broken.tar.gz").write_bytes(made.getvalue()[:40])
+    assert sorted(r.path for r in readers.read_archives(spark, str(tmp_path / "tars")).where("paper_id = 'whole'").collect()) == ["0.tex", "1.tex"]
+    figures = spark.createDataFrame([("p", k, f"p_{k}.png", str(k), f"caption {k}", k + 1) for k in (2, 0, 1)] + [("q", 0, "q_1.png", "1", None, 1)],
+                                    "paper_id string, fig_ord int, figure_name string, figure_number string, caption string, page_number int")
+    writers.write_figures(figures, str(tmp_path / "figures"))
+    got = sorted(tuple(r) for r in readers.read_figures(spark, str(tmp_path / "figures")).collect())
+    assert got == [("p", k, f"p_{k}.png", str(k), f"caption {k}", k + 1) for k in range(3)] + [("q", 0, "q_1.png", "1", "", 1)]
+    ids = spark.createDataFrame([("p",), ("q",)], "paper_id string")
+    assert [r.paper_id for r in readers.with_both_sources(ids, ids, ids.where("paper_id = 'p'")).collect()] == ["p"]
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "id int, embedding array<double>")
+    anchors = spark.createDataFrame([([0.6, 0.8],)], "vec array<double>")
+    assert {r.id: r.score and round(r.score, 6) for r in vectors.max_anchor_score(rows.where("id < 3"), anchors).collect()} == {1: 0.6, 2: None}
