@@ -31,7 +31,7 @@ from lithofig.llm.shared import bound_batches, in_slices, open_store, ragged, sh
 
 MAGIC = b"LITHOREC"
 MASK_DELTA = 0xA282EAD8
-CACHED_PIECES = 150_000
+CACHED_PIECES = 250_000
 HEAD, FOOT = "<QI", "<I"
 HEAD_SIZE, FOOT_SIZE = struct.calcsize(HEAD), struct.calcsize(FOOT)
 
@@ -72,7 +72,8 @@ class WordEncoder:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         accents = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         self.bytewise = {ord(c): level.pre_tokenize_str(c)[0][0] for c in accents}
-        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)")
         self.pieces: dict[str, list[int]] = {}
         alone = {w: self._whole(w) for text in PROBES for w in text.split()}
         self.by_word = all(self._whole(text) == [i for w in text.split() for i in alone[w]] for text in PROBES)
@@ -87,9 +88,16 @@ class WordEncoder:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def word(self, word: str) -> list[int]:
-        if not self.by_piece or not SIMPLE.fullmatch(word) or any(s in word for s in self.special):
+        if not self.by_piece:
+            return self._whole(word)
+        if word.isascii() and word.isalpha():
+            found = (word.lower(),)
+        elif SIMPLE.fullmatch(word):
+            found = PIECES.findall(word.lower())
+        else:
+            return self._whole(word)
+        if self.special.search(word):
             return self._whole(word)
-        found = PIECES.findall(word.lower())
         out: list[int] = []
         for piece in found:
             ids = self.pieces.get(piece)
@@ -110,7 +118,7 @@ class WordEncoder:
         flat: list[int] = []
         sizes = np.zeros(len(words) + 1, dtype=np.int64)
         for i, word in enumerate(words.to_pylist()):
-            ids = self.word(word)
+            ids = self.pieces.get(word) or self.word(word)  # a word that is a piece splits no further
             flat += ids
             sizes[i] = len(ids)
         flat.append(end_id)
@@ -163,7 +171,7 @@ def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: i
         name, own = f"{base}/shard-{shard:07d}", f"{base}/.{uuid.uuid4().hex}"
         kind, records, tokens, at, index = f"<u{enc.width}", 0, 0, 0, []
         sink = None
-        for batch in in_slices(batches, 1, 2 << 20):
+        for batch in in_slices(batches, 1, 4 << 20):
             if sink is None:
                 sink = store.open_output_stream(own)
                 sink.write(MAGIC + bytes([enc.width]))
