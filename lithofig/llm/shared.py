@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+#: Slices between two returns of memory, each of which costs page faults.
+GIVE_BACK_AFTER = 8
 _written: list[str] = []
 _libc = ctypes.CDLL(None)
 
@@ -97,6 +99,7 @@ def in_slices(batches, column: int, most: int = 1 << 20):
 
     Bounds what a Python worker holds, whatever the length of texts.
     """
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -108,7 +111,10 @@ def in_slices(batches, column: int, most: int = 1 << 20):
             parts = [pa.concat_arrays([c.slice(0, 0), c.slice(begin, end - begin)]) for c in batch.columns]
             yield pa.RecordBatch.from_arrays(parts, schema=batch.schema)
             del parts
-            give_back()
+            done += 1
+            if done % GIVE_BACK_AFTER == 0:
+                give_back()
+    give_back()
 
 
 def by_text(function: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
