@@ -151,7 +151,7 @@ def near_duplicate_vectors(
                     codes[i] = code
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], schema=batch.schema.append(pa.field("codes", pa.list_(pa.int64()))))
 
-    hashed = reps.mapInArrow(hash_rows, "label string, vec array<float>, rep bigint, mult bigint, codes array<bigint>")
+    hashed = reps.mapInArrow(hash_rows, f"label string, vec {reps.schema['vec'].dataType.simpleString()}, rep bigint, mult bigint, codes array<bigint>")
     hashed = hashed.withColumn("dim", F.size("vec")).withColumn("width", (F.size("codes") / tables).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.size("codes") - 1), lambda k: F.struct((k / F.col("width")).cast("int").alias("table"), F.element_at("codes", k + 1).alias("bucket"), (k % F.col("width") == 0).alias("own")))
     key = ["label", "dim", "table", "bucket"]
