@@ -31,7 +31,8 @@ from lithofig.llm.shared import bound_batches, in_slices, open_store, ragged, sh
 
 MAGIC = b"LITHOREC"
 MASK_DELTA = 0xA282EAD8
-CACHED_PIECES = 250_000
+#: Bytes of text encoded at once, and pieces that an encoder remembers.
+AT_ONCE, CACHED_PIECES = 4 << 20, 250_000
 HEAD, FOOT = "<QI", "<I"
 HEAD_SIZE, FOOT_SIZE = struct.calcsize(HEAD), struct.calcsize(FOOT)
 
@@ -62,7 +63,7 @@ class WordEncoder:
     splits or joins in another way is used without them: word by word, or on whole texts.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED_PIECES) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -75,6 +76,7 @@ class WordEncoder:
         special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or r"(?!)")
         self.pieces: dict[str, list[int]] = {}
+        self.cached = cached
         alone = {w: self._whole(w) for text in PROBES for w in text.split()}
         self.by_word = all(self._whole(text) == [i for w in text.split() for i in alone[w]] for text in PROBES)
         self.by_piece = True
@@ -102,7 +104,7 @@ class WordEncoder:
         for piece in found:
             ids = self.pieces.get(piece)
             if ids is None:
-                if len(self.pieces) >= CACHED_PIECES:
+                if len(self.pieces) >= self.cached:
                     self.pieces.clear()
                 text = piece if piece.isascii() else piece.translate(self.bytewise)
                 ids = self.pieces[piece] = [t.id for t in self.model.tokenize(text)]
@@ -131,9 +133,9 @@ class WordEncoder:
         return ids, total[offsets + np.arange(len(offsets))]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, cached: int) -> WordEncoder:
+    return WordEncoder(path, cached)
 
 
 MANIFEST = T.StructType([
@@ -152,7 +154,7 @@ RECORDS = T.StructType([
 ])
 
 
-def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", at_once: int = AT_ONCE, cached: int = CACHED_PIECES) -> DataFrame:
     """Encode whole texts and write shards to ``folder`` in ascending id order.
 
     Rows are dealt out by ranges of the id and each task writes one shard and its index under a
@@ -167,11 +169,11 @@ def write_token_records(docs: DataFrame, folder: str, vocabulary: str, end_id: i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        shard, enc = TaskContext.get().partitionId(), encoder(vocabulary)
+        shard, enc = TaskContext.get().partitionId(), encoder(vocabulary, cached)
         name, own = f"{base}/shard-{shard:07d}", f"{base}/.{uuid.uuid4().hex}"
         kind, records, tokens, at, index = f"<u{enc.width}", 0, 0, 0, []
         sink = None
-        for batch in in_slices(batches, 1, 4 << 20):
+        for batch in in_slices(batches, 1, at_once):
             if sink is None:
                 sink = store.open_output_stream(own)
                 sink.write(MAGIC + bytes([enc.width]))
@@ -267,14 +269,15 @@ def read_token_records(spark: SparkSession, folder: str, shards: list[tuple[int,
     return listed.mapInArrow(read, RECORDS)
 
 
-def token_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None) -> DataFrame:
+def token_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, at_once: int = AT_ONCE, cached: int = CACHED_PIECES) -> DataFrame:
     """Write ``docs`` as token records and describe each record as it is read back.
 
-    An empty table gives no shard and an empty result.
+    An empty table gives no shard and an empty result. ``at_once`` (bytes of text) and ``cached``
+    (pieces remembered) trade a worker's memory for its time.
     """
     spark = bound_batches(docs.sparkSession)
     folder = folder or shared_folder(spark)
-    manifest = sorted(write_token_records(docs, folder, vocabulary, end_id).collect())  # a row for each shard
+    manifest = sorted(write_token_records(docs, folder, vocabulary, end_id, at_once=at_once, cached=cached).collect())  # a row for each shard
     shards, before = [], 0
     for row in manifest:
         shards.append((row.shard, before))
