@@ -78,7 +78,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     import public_tokenizers
 
-    return token_records(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_records(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, at_once=1 << 20, cached=80_000)
 
 
 STAGES = [
