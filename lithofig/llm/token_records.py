@@ -134,7 +134,7 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, cached: int) -> WordEncoder:
+def encoder(path: str, cached: int = CACHED_PIECES) -> WordEncoder:
     return WordEncoder(path, cached)
 
 
