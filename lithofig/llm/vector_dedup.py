@@ -11,18 +11,19 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithofig.llm.components import connected_components
-from lithofig.llm.shared import materialize
+from lithofig.llm.shared import bound_batches, materialize
 
-TABLES, HASHES, PROBES, SEED = 6, 2, 6, 7
+TABLES, HASHES, PROBES, SEED = 6, 3, 12, 7
 #: Expected rows of a block; a bucket with more is cut into blocks that meet in pairs.
 BLOCK = 256
 RANKS = 4
+#: Pairs compared at once, in groups and in one product.
+PAIRS, STEP = 1 << 18, 1 << 14
 
 
 @lru_cache(maxsize=8)
@@ -77,45 +78,80 @@ def _usable(column: str, label: str):
     return F.col(label).isNotNull() & vec.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _verify(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links found in one block pair: per vector their number and the least vector joined here."""
-    none = pd.DataFrame({"rep": np.array([], "int64"), "links": np.array([], "int64"), "root": np.array([], "int64")})
-    if len(frame) < 2 or frame["own"].sum() == 0:
-        return none
-    table, left, right = int(frame["table"].iat[0]), int(frame["p"].iat[0]), int(frame["q"].iat[0])
-    rep, mult = frame["rep"].to_numpy(), frame["mult"].to_numpy()
-    own, block = frame["own"].to_numpy(bool), frame["block"].to_numpy()
-    x = np.array(frame["vec"].tolist(), dtype=np.float64)
+def _pairs(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All i < j that lie in one group of the rows; a group begins at each of ``starts``."""
+    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    after = ends - np.arange(n) - 1
+    i = np.repeat(np.arange(n), after)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def _links(rows: dict[str, np.ndarray], starts: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the links that count in these groups; a pair counts where it meets first."""
+    x, own, block, rep = rows["x"], rows["own"], rows["block"], rows["rep"]
+    n = len(x)
     norm = np.sqrt((x * x).sum(1))
-    codes = np.array(frame["codes"].tolist(), dtype=np.int64).reshape(len(frame), -1, int(frame["width"].iat[0]))
-    rows, cols = np.flatnonzero(own), np.arange(len(frame))
-    near = (x[rows] @ x.T) / (norm[rows][:, None] * norm[None, :]) >= cosine
-    near &= rep[rows][:, None] != rep[None, :]
-    if left != right:
-        near &= block[rows][:, None] != block[None, :]
-    near &= ~(own[None, :] & (rep[rows][:, None] > rep[None, :]))
-    i, j = np.nonzero(near)
-    i, j = rows[i], cols[j]
-    # a pair counts where it meets first: in the first table, there in the lesser bucket
+    if len(starts) == 1:
+        i, j = np.nonzero(np.triu((x @ x.T) / (norm[:, None] * norm[None, :]) >= cosine, 1))
+    else:
+        i, j = _pairs(starts, n)
+        near = [np.einsum("ij,ij->i", x[i[k:k + STEP]], x[j[k:k + STEP]]) / (norm[i[k:k + STEP]] * norm[j[k:k + STEP]]) >= cosine for k in range(0, len(i), STEP)]
+        near = np.concatenate(near) if near else np.zeros(0, bool)
+        i, j = i[near], j[near]
+    fits = (own[i] | own[j]) & (rep[i] != rep[j]) & ((rows["p"][i] == rows["q"][i]) | (block[i] != block[j]))
+    i, j = i[fits], j[fits]
+    i, j = np.where(own[i], i, j), np.where(own[i], j, i)
+    # in the first table where they meet, there in the lesser bucket
+    codes, table = rows["codes"], rows["table"][i]
     meets_ij = (codes[j] == codes[i][:, :, :1]).any(2)
     meets_ji = (codes[i] == codes[j][:, :, :1]).any(2)
     first = (meets_ij | meets_ji).argmax(1) == table
-    both = meets_ij[:, table] & meets_ji[:, table]
+    at = np.arange(len(i))
+    both = meets_ij[at, table] & meets_ji[at, table]
     first &= ~both | (codes[i, table, 0] <= codes[j, table, 0])
-    i, j = i[first], j[first]
-    if not len(i):
-        return none
-    links = np.bincount(i, mult[j], len(frame)) + np.bincount(j, mult[i], len(frame))
+    return i[first], j[first]
+
+
+def _summed(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Per vector the number of these links and the least vector joined here."""
+    rep, at = np.unique(rows["rep"], return_inverse=True)
+    links = np.bincount(at[i], rows["mult"][j], len(rep)) + np.bincount(at[j], rows["mult"][i], len(rep))
     root = rep.copy()
-    while True:
+    while len(i):
         new = root.copy()
-        np.minimum.at(new, i, root[j])
-        np.minimum.at(new, j, root[i])
+        np.minimum.at(new, at[i], root[at[j]])
+        np.minimum.at(new, at[j], root[at[i]])
         if (new == root).all():
             break
         root = new
     some = links > 0
-    return pd.DataFrame({"rep": rep[some], "links": links[some].astype("int64"), "root": root[some]})
+    return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["rep", "links", "root"])
+
+
+def _sweep(table: pa.Table, starts: np.ndarray, tables: int, cosine: float):
+    """Links of whole groups, which ``starts`` begin, some at a time."""
+    starts, dims = np.append(starts, table.num_rows), table["dim"].to_numpy()
+    sizes = np.diff(starts)
+    part = np.cumsum(sizes * (sizes - 1) // 2) // PAIRS
+    cut = np.flatnonzero((part[1:] != part[:-1]) | (dims[starts[1:-1]] != dims[starts[:-2]])) + 1
+    for a, b in zip([0, *cut], [*cut, len(sizes)], strict=True):
+        chunk = table.slice(starts[a], starts[b] - starts[a]).combine_chunks()
+        rows = {c: chunk[c].to_numpy() for c in ("rep", "mult", "own", "block", "p", "q", "table")}
+        flat = lambda c: chunk[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)  # noqa: E731, B023
+        rows["x"] = flat("vec").astype(np.float64).reshape(chunk.num_rows, -1)
+        rows["codes"] = flat("codes").reshape(chunk.num_rows, tables, -1)
+        yield _summed(rows, *_links(rows, starts[a:b] - starts[a], cosine))
+
+
+def _starts(table: pa.Table, key: list[str]) -> np.ndarray:
+    """Where the groups of sorted rows begin."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in key:
+        column = table[c].combine_chunks()
+        column = (column.dictionary_encode().indices if pa.types.is_string(column.type) else column).to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
 
 
 def near_duplicate_vectors(
@@ -133,6 +169,7 @@ def near_duplicate_vectors(
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("string").alias("label"))
     good = rows.where(_usable("vec", "label") & F.col("vec_id").isNotNull())
+    bound_batches(df.sparkSession)
     reps = materialize(good.groupBy("label", "vec", "vec_id").agg(F.lit(1).alias("x")).groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
 
     def hash_rows(batches):
@@ -152,17 +189,35 @@ def near_duplicate_vectors(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], schema=batch.schema.append(pa.field("codes", pa.list_(pa.int64()))))
 
     hashed = reps.mapInArrow(hash_rows, f"label string, vec {reps.schema['vec'].dataType.simpleString()}, rep bigint, mult bigint, codes array<bigint>")
-    hashed = hashed.withColumn("dim", F.size("vec")).withColumn("width", (F.size("codes") / tables).cast("int"))
-    places = F.transform(F.sequence(F.lit(0), F.size("codes") - 1), lambda k: F.struct((k / F.col("width")).cast("int").alias("table"), F.element_at("codes", k + 1).alias("bucket"), (k % F.col("width") == 0).alias("own")))
-    key = ["label", "dim", "table", "bucket"]
-    light = hashed.select("label", "dim", F.explode(places).alias("at")).select("label", "dim", "at.*")
+    hashed = materialize(hashed.withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()))
+    width = F.size("codes") / tables
+    places = F.transform("codes", lambda c, k: F.struct((k / width).cast("int").alias("table"), c.alias("bucket"), (k % width.cast("int") == 0).alias("own")))
+    key = ["dim", "label", "table", "bucket"]
+    # ids alone find the buckets where something meets; vectors are sent to these only
+    light = hashed.select("row", "dim", "label", F.explode(places).alias("at")).select("row", "dim", "label", "at.*")
     counts = light.groupBy(*key).agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 and owned")
-    counts = counts.select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = hashed.select("*", F.explode(places).alias("at")).select("*", "at.*").drop("at").join(materialize(counts), key)
+    shared = light.join(counts.select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks")), key)
+    shared = shared.groupBy("row").agg(F.collect_list(F.struct("table", "bucket", "own", "blocks")).alias("at"))
+    met = hashed.join(shared, "row").select("dim", "label", "rep", "mult", "vec", "codes", F.inline("at"))
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
-    found = materialize(met.groupBy(*key, "p", "q").applyInPandas(lambda frame: _verify(frame, cosine), "rep long, links long, root long"))
+    met = met.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other", "blocks")
+    group = [*key, "p", "q"]
+
+    def sweep(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            starts = _starts(table, group)
+            if len(starts) > 1:
+                yield from _sweep(table.slice(0, starts[-1]), starts[:-1], tables, cosine)
+            # copied, so that what is done with can go
+            held = table.take(np.arange(starts[-1], table.num_rows)) if len(starts) else None
+        if held is not None:
+            yield from _sweep(held, np.zeros(1, np.int64), tables, cosine)
+
+    found = materialize(met.repartition(*group).sortWithinPartitions(*group).mapInArrow(sweep, "rep long, links long, root long"))
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "rep", "root").select(F.col("node").alias("rep"), "root")
     summed = reps.join(degree, "rep", "left").join(roots, "rep", "left").select(
