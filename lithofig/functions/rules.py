@@ -233,10 +233,19 @@ def page_text(text: Column, page_number: Column) -> Column:
 ABBREVIATIONS = ["fig", "figs", "eq", "eqs", "ref", "refs", "sec", "e.g", "i.e", "et al", "cf", "vs", "dr", "mr", "mrs", "ms", "prof", "no"]
 
 
+BETWEEN = "(?i)(?<=[.!?])" + "".join(rf"(?<!\b{a.replace('.', r'[.]')}[.])" for a in ABBREVIATIONS) + r"\s+"
+
+
 def sentences(text: Column) -> Column:
     """Sentences by rule: a stop, white space, and no abbreviation before the stop."""
-    guard = "".join(rf"(?<!\b{a.replace('.', r'[.]')}[.])" for a in ABBREVIATIONS)
-    return F.filter(F.split(strip(text), rf"(?i)(?<=[.!?]){guard}\s+"), lambda s: s != "")
+    return F.filter(F.split(strip(text), BETWEEN), lambda s: s != "")
+
+
+def spaced_sentences(text: Column) -> Column:
+    """The same sentences, each with the white space after it, so that together they are the text."""
+    gaps = F.regexp_extract_all(text, F.lit(BETWEEN), F.lit(0))
+    pairs = F.arrays_zip(F.split(text, BETWEEN).alias("s"), gaps.alias("g"))
+    return F.filter(F.transform(pairs, lambda p: F.concat(p["s"], F.coalesce(p["g"], F.lit("")))), lambda s: s != "")
 
 
 def figure_number(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithofig.functions.rules import figure_number, rx, strip, strip_figure_prefix
+from lithofig.functions.rules import figure_number, rx, spaced_sentences, strip, strip_figure_prefix
 
 MENTION = rx(r"\b(Fig(?:ure)?\.?\s*(\d+(?:\.\d+)?))\b", "i")
 
@@ -42,26 +42,51 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return last.select(*keys, order, *[f"v.{c}" for c in rest])
 
 
+def sentence_spans(pages: DataFrame, keys: tuple[str, ...] = ("paper_id", "page_number"), text: str = "text") -> DataFrame:
+    """(keys, sent_ord, sent, start, stop): sentences with the white space after them, and their places in the text without it.
+
+    Places are code points. A null or empty text has no sentence.
+    """
+    rows = pages.select(*keys, F.posexplode(spaced_sentences(F.col(text))).alias("sent_ord", "sent"))
+    before = Window.partitionBy(*keys).orderBy("sent_ord").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("sent")).over(before), F.lit(0)).cast("int")
+    return rows.withColumn("start", start).withColumn("stop", F.col("start") + F.length(F.regexp_replace("sent", rx(r"\s+\z"), "")))
+
+
 def mention_frames(sentences: DataFrame, caption: int = 3, description: int = 10, joiner: str = "", keys: tuple[str, ...] = ("paper_id", "page_number")) -> DataFrame:
     """Sentences that mention a figure, each with the frames that begin at it.
 
-    ``sentences`` has the keys, sent_ord and sent. A frame ends with its page.
+    ``sentences`` has the keys, sent_ord and sent, and may have start and stop, as from
+    ``sentence_spans``; else these are numbers of sentences. A frame ends with its page.
     """
+    if not {"start", "stop"} <= set(sentences.columns):
+        sentences = sentences.withColumns({"start": F.col("sent_ord"), "stop": F.col("sent_ord")})
     w = Window.partitionBy(*keys).orderBy("sent_ord")
     framed = sentences.withColumns({
         "caption": F.array_join(F.collect_list("sent").over(w.rowsBetween(0, caption - 1)), joiner),
         "description": F.array_join(F.collect_list("sent").over(w.rowsBetween(0, description - 1)), joiner),
-        "last_ord": F.last("sent_ord").over(w.rowsBetween(0, description - 1)),
+        "stop": F.last("stop").over(w.rowsBetween(0, description - 1)),
         "figure": F.nullif(F.regexp_extract("sent", MENTION, 2), F.lit("")),
     })
-    return framed.where("figure is not null").select(*keys, "sent_ord", "last_ord", "figure", strip(F.col("caption")).alias("caption"), strip(F.col("description")).alias("description"))
+    return framed.where("figure is not null").select(*keys, "sent_ord", "start", "stop", "figure", strip(F.col("caption")).alias("caption"), strip(F.col("description")).alias("description"))
 
 
 def figure_mentions(frames: DataFrame, paper: str = "paper_id", page: str = "page_number") -> DataFrame:
     """Per figure label its first caption and page, and all descriptions and pages in order."""
     place = F.struct(page, "sent_ord")
-    row = F.struct(F.col(page).alias("page"), "sent_ord", "description", F.struct(F.col("sent_ord").alias("start"), F.col("last_ord").alias("end")).alias("span"))
+    row = F.struct(F.col(page).alias("page"), "sent_ord", "description", F.struct("start", F.col("stop").alias("end")).alias("span"))
     grouped = frames.groupBy(paper, F.concat(F.lit("Figure_"), "figure").alias("figure_label")).agg(
         F.min_by("caption", place).alias("caption"), F.min_by(page, place).alias("caption_page"), F.array_sort(F.collect_list(row)).alias("m"))
     return grouped.select(paper, "figure_label", "caption", "caption_page", F.transform("m", lambda m: m["description"]).alias("descriptions"),
                           F.transform("m", lambda m: m["span"]).alias("start_end_positions"), F.array_distinct(F.transform("m", lambda m: m["page"])).alias("all_pages_mentioned"))
+
+
+def mention_lists(mentions: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """A paper's figures of page text as five parallel lists, in the order of their first mention."""
+    fields = ["caption", "descriptions", "start_end_positions", F.regexp_replace("figure_label", "^Figure_", "").alias("fig_no"), "caption_page"]
+    first = F.transform("start_end_positions", lambda p: p["start"])
+    rows = mentions.select(paper, F.struct(F.col("caption_page").alias("page"), F.get(first, F.lit(0)).alias("at"), "figure_label").alias("place"), F.struct(*fields).alias("f"))
+    lists = rows.groupBy(paper).agg(F.array_sort(F.collect_list(F.struct("place", "f"))).alias("m"))
+    names = {"captions": "caption", "descriptions": "descriptions", "start_end": "start_end_positions", "fig_nos": "fig_no", "page_numbers": "caption_page"}
+    listed = lambda field: F.transform("m", lambda m: m["f"][field])
+    return lists.select(paper, *[listed(field).alias(name) for name, field in names.items()])

@@ -134,8 +134,15 @@ def term_boost(term: Column) -> Column:
     return F.when(term.isin(*STRONG_TERMS), 0.15).when(words == 1, 0.05).when(topic, 0.10).otherwise(0.15)
 
 
-def top_keywords(lines: DataFrame, stop_words: list[str], top: int = 50, longest: int = 3, least: int = 2, key: str = "line_id", text: str = "text") -> DataFrame:
-    """The most frequent n-grams that ``least`` lines or more hold: (term, cnt, boost). Stop words go first."""
+def top_keywords(lines: DataFrame, stop_words: list[str] | None = None, top: int = 50, longest: int = 3, least: int = 2, key: str = "line_id", text: str = "text") -> DataFrame:
+    """The most frequent n-grams that ``least`` lines or more hold: (term, cnt, boost). Stop words go first.
+
+    Without a list the English one that comes with Spark is taken.
+    """
+    if stop_words is None:
+        from pyspark.ml.feature import StopWordsRemover
+
+        stop_words = StopWordsRemover.loadDefaultStopWords("english")
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words) if stop_words else F.lit(True))
     rows = lines.select(F.col(key).alias("line"), words.alias("w"))
     def grams_of(n: int) -> Column:

@@ -101,3 +101,43 @@ def encode(texts: DataFrame, provider: Callable[[], Callable[[np.ndarray], np.nd
 
     model = predict_batch_udf(provider, return_type=ArrayType(FloatType()), batch_size=64)
     return texts.withColumn("embedding", model(clean_for_embeddings(F.col(column))))
+
+
+def pooled(hidden: np.ndarray, mask: np.ndarray, mode: str = "mean") -> np.ndarray:
+    """Unit vectors of (texts, tokens, size) states: the mean over unmasked tokens, or the first token's (``cls``)."""
+    if mode == "cls":
+        out = hidden[:, 0].astype(np.float64)
+    else:
+        weight = mask[:, :, None].astype(np.float64)
+        out = (hidden * weight).sum(1) / np.maximum(weight.sum(1), 1e-9)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
+def transformer(load: Callable[[], tuple[Callable, Callable]], mode: str = "mean", longest: int = 512) -> Callable:
+    """A provider for ``encode``: ``load`` gives, in each worker, a tokenizer (text, longest -> ids) and a model (ids, mask -> states).
+
+    Texts are padded to the longest of their batch; an empty text keeps one masked token.
+    """
+
+    def provider():
+        tokenizer, model = load()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            rows = [tokenizer(t or "", longest)[:longest] for t in texts]
+            ids = np.zeros((len(rows), max([1, *map(len, rows)])), np.int64)
+            mask = np.zeros_like(ids)
+            for k, row in enumerate(rows):
+                ids[k, :len(row)], mask[k, :len(row)] = row, 1
+            return pooled(model(ids, mask), mask, mode)
+
+        return predict
+
+    return provider
+
+
+def anchor_of(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """The normalised mean of anchor vectors, one row; without a vector an error."""
+    anchor = centroid(vectors, column, unit=True)
+    if anchor.isEmpty() or anchor.first()[0] is None or not len(anchor.first()[0]):
+        raise ValueError("no anchor sentences")
+    return anchor

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithofig.functions.rules import latex_text, page_text
 from lithofig.operators.latex import caption_mentions, joined_source, mention_lists
-from lithofig.operators.layout import figure_mentions, last_wins, mention_frames
+from lithofig.operators.layout import figure_mentions, last_wins, mention_frames, sentence_spans
 from lithofig.operators.match import enrich, match_figures
 from lithofig.operators.vectors import centroid, expand_anchors, max_anchor_score, select_captions
 
@@ -35,8 +36,12 @@ def build_anchors(seeds: DataFrame, candidates: DataFrame, threshold: float = 0.
 
 
 def mine_pages(sentences: DataFrame, anchors: DataFrame, encoder, threshold: float = 0.94, images: DataFrame | None = None) -> DataFrame:
-    """Figures of page text whose captions are selected, by the key of their image; of equal keys the last one stays."""
-    figures = figure_mentions(mention_frames(sentences))
+    """Figures of page text whose captions are selected, by the key of their image; of equal keys the last one stays.
+
+    ``sentences`` are pages with their text, or sentences as from ``sentence_spans``.
+    """
+    spans = sentence_spans(sentences) if "text" in sentences.columns else sentences
+    figures = figure_mentions(mention_frames(spans))
     scored = max_anchor_score(encoder(figures.withColumnRenamed("descriptions", "description")), anchors)
     number = F.regexp_replace("figure_label", "^Figure_", "")
     keyed = select_captions(scored, threshold).withColumns({"image_key": F.concat("paper_id", F.lit("_"), number, F.lit(".png")), "place": F.struct("caption_page", "figure_label")})
@@ -50,3 +55,13 @@ def route(pages: DataFrame | None, latex: DataFrame | None) -> DataFrame:
     if pages is None or latex is None:
         return pages if latex is None else latex
     return pages.unionByName(latex, allowMissingColumns=True)
+
+
+def processed_contents(files: DataFrame) -> DataFrame:
+    """(paper_id, path, processed): each LaTeX file's running text."""
+    return files.select("paper_id", "path", latex_text(F.col("content")).alias("processed"))
+
+
+def processed_pages(pages: DataFrame) -> DataFrame:
+    """(paper_id, page_number, processed, caption_text): a page's running text, and its own text, in which captions are sought."""
+    return pages.select("paper_id", "page_number", page_text(F.col("text"), F.col("page_number")).alias("processed"), F.col("text").alias("caption_text"))

@@ -83,6 +83,48 @@ def wanted_papers(ids: DataFrame, metadata: DataFrame, cached: DataFrame | None
     return fresh.join(metadata, "paper_id").where(wanted_category(F.col("categories"), prefix) & F.col("source_url").isNotNull() & (F.col("source_url") != ""))
 
 
+def fetch_status(ids: DataFrame, metadata: DataFrame, cached: DataFrame, prefix: str = "quant-ph") -> DataFrame:
+    """(paper_id, source_url, status) of every id: cached, unknown, other category, no source, or wanted."""
+    from lithofig.functions.rules import wanted_category
+
+    known = metadata.select("paper_id", "categories", "source_url", F.lit(True).alias("known"))
+    held = cached.select("paper_id").distinct().withColumn("held", F.lit(True))
+    rows = ids.select("paper_id").distinct().join(held, "paper_id", "left").join(known, "paper_id", "left")
+    status = F.when(F.col("held"), "cached").when(F.col("known").isNull(), "unknown")
+    status = status.when(~F.coalesce(wanted_category(F.col("categories"), prefix), F.lit(False)), "other category")
+    return rows.select("paper_id", "source_url", status.when(F.coalesce("source_url", F.lit("")) == "", "no source").otherwise("wanted").alias("status"))
+
+
+def fetch(status: DataFrame, provider, folder: str) -> DataFrame:
+    """Store the payloads of wanted papers; (paper_id, status), where wanted becomes fetched or failed.
+
+    ``provider`` maps (paper_id, source_url) to (pdf, archive) as bytes; what it raises, or an
+    archive that is none, fails its paper only. Files are pdf_source/<id>.pdf and
+    latex_source/<id>.tar.gz below ``folder``, of any store; writing them again is harmless.
+    """
+    import pyarrow.fs as pafs
+
+    def stored(store, base, paper, url):
+        try:
+            pdf, archive = provider(paper, url)
+            tarfile.open(fileobj=io.BytesIO(archive)).close()
+        except Exception:  # noqa: BLE001, a provider may raise anything
+            return "failed"
+        for kind, name, data in (("pdf_source", f"{paper}.pdf", pdf), ("latex_source", f"{paper}.tar.gz", archive)):
+            store.create_dir(f"{base}/{kind}", recursive=True)
+            with store.open_output_stream(f"{base}/{kind}/{name}") as out:
+                out.write(data)
+        return "fetched"
+
+    def run(batches):
+        store, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        for batch in batches:
+            rows = [stored(store, base, p, u) if s == "wanted" else s for p, u, s in zip(batch["paper_id"], batch["source_url"], batch["status"], strict=True)]
+            yield batch.assign(status=rows)[["paper_id", "status"]]
+
+    return status.mapInPandas(run, "paper_id string, status string")
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Extracted page texts: (paper_id, page_number from 1, text)."""
     return spark.read.schema("paper_id string, page_number int, text string").json(path)

@@ -54,3 +54,23 @@ def write_images(figures: DataFrame, folder: str) -> DataFrame:
 def archived(records: DataFrame, images: DataFrame) -> DataFrame:
     """Records whose image exists; the others go with their metadata."""
     return records.join(images.select(F.col("figure_name").alias("image_key")), "image_key", "left_semi")
+
+
+def copy_images(records: DataFrame, source: str, target: str, key: str = "image_key") -> DataFrame:
+    """(key, copied): copies each record's image from folder to folder, of any stores; one that is not there is passed over."""
+    import pyarrow.fs as pafs
+
+    def copy(batches):
+        at = [pafs.FileSystem.from_uri(u) if "://" in u else (pafs.LocalFileSystem(), u) for u in (source, target)]
+        (store, base), (other, to) = at
+        other.create_dir(to, recursive=True)
+        for batch in batches:
+            there = []
+            for name in batch[key]:
+                found = name is not None and store.get_file_info(f"{base}/{name}").type == pafs.FileType.File
+                if found:
+                    pafs.copy_files(f"{base}/{name}", f"{to}/{name}", source_filesystem=store, destination_filesystem=other)
+                there.append(found)
+            yield batch.assign(copied=there)
+
+    return records.select(key).mapInPandas(copy, f"{key} string, copied boolean")

@@ -2,6 +2,7 @@ import io
 import tarfile
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,62 @@ def test_source_round_trips(spark, tmp_path):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "id int, embedding array<double>")
     anchors = spark.createDataFrame([([0.6, 0.8],)], "vec array<double>")
     assert {r.id: r.score and round(r.score, 6) for r in vectors.max_anchor_score(rows.where("id < 3"), anchors).collect()} == {1: 0.6, 2: None}
+
+
+def test_sentence_places(spark):
+    text = "  See Fig. 3 now. \n It ends!\u00a0Yes? tail é😀. "
+    pages = spark.createDataFrame([("p", 1, text), ("p", 2, ""), ("p", 3, None)], "paper_id string, page_number int, text string")
+    rows = layout.sentence_spans(pages).orderBy("sent_ord").collect()
+    assert "".join(r.sent for r in rows) == text
+    assert all(text[r.start:r.stop] == r.sent.rstrip() for r in rows) and [r.page_number for r in rows] == [1] * len(rows)
+    frames = layout.mention_frames(layout.sentence_spans(pages), description=2)
+    got = layout.figure_mentions(frames).head()
+    (span,) = got.start_end_positions
+    assert text[span.start:span.end].strip() == got.descriptions[0]
+    lists = layout.mention_lists(layout.figure_mentions(frames)).head()
+    assert (lists.fig_nos, lists.page_numbers, lists.start_end[0][0].end) == (["3"], [1], span.end)
+
+
+def test_encoders(spark):
+    hidden = np.array([[[3.0, 4.0], [9.0, 9.0]], [[0.0, 2.0], [2.0, 0.0]]])
+    mask = np.array([[1, 0], [1, 1]])
+    assert np.allclose(vectors.pooled(hidden, mask), [[0.6, 0.8], [0.5**0.5, 0.5**0.5]])
+    assert np.allclose(vectors.pooled(hidden, mask, "cls"), [[0.6, 0.8], [0, 1]])
+    load = lambda: (lambda text, longest: [len(w) for w in text.split()], lambda ids, mask: np.stack([ids, np.ones_like(ids)], 2))
+    predict = vectors.transformer(load, longest=2)()
+    assert np.allclose(predict(np.array(["aaa", "a aaa zzzzzzzzz", ""])), [[3 / 10**0.5, 1 / 10**0.5], [2 / 5**0.5, 1 / 5**0.5], [0, 0]])
+    rows = spark.createDataFrame([([3.0, 0.0],), ([0.0, 4.0],)], "embedding array<double>")
+    assert vectors.anchor_of(rows).head()[0] == pytest.approx([0.6, 0.8])
+    with pytest.raises(ValueError, match="no anchor"):
+        vectors.anchor_of(rows.limit(0))
+
+
+def test_fetch_and_copy(spark, tmp_path):
+    made = io.BytesIO()
+    tarfile.open(fileobj=made, mode="w:gz").close()
+    whole = made.getvalue()
+    ids = spark.createDataFrame([(i,) for i in "abcdefg"], "paper_id string")
+    meta = spark.createDataFrame([(i, ["cs.LG"] if i == "c" else ["quant-ph"], None if i == "d" else "u/" + i) for i in "acdefg"], "paper_id string, categories array<string>, source_url string")
+    status = readers.fetch_status(ids, meta, ids.where("paper_id = 'a'"))
+
+    def provider(paper, url):
+        if paper == "e":
+            raise OSError(url)
+        return b"pdf", whole if paper == "f" else b"no archive"
+
+    got = dict(tuple(r) for r in readers.fetch(status, provider, str(tmp_path)).collect())
+    assert got == {"a": "cached", "b": "unknown", "c": "other category", "d": "no source", "e": "failed", "f": "fetched", "g": "failed"}
+    assert (tmp_path / "pdf_source" / "f.pdf").read_bytes() == b"pdf" and not (tmp_path / "pdf_source" / "g.pdf").exists()
+    records = spark.createDataFrame([("f.pdf",), ("none.png",), (None,)], "image_key string")
+    assert {r.image_key: r.copied for r in writers.copy_images(records, str(tmp_path / "pdf_source"), str(tmp_path / "kept")).collect()} == {"f.pdf": True, "none.png": False, None: False}
+    assert (tmp_path / "kept" / "f.pdf").read_bytes() == b"pdf"
+
+
+def test_processed_text_and_stop_words(spark):
+    files = spark.createDataFrame([("p", "a.tex", r"A $x$ word"), ("p", "b.tex", None)], "paper_id string, path string, content string")
+    got = {r.path: r.processed for r in flows.processed_contents(files).collect()}
+    assert "word" in got["a.tex"] and "$" not in got["a.tex"]
+    pages = spark.createDataFrame([("p", 2, "Some TEXT")], "paper_id string, page_number int, text string")
+    assert tuple(flows.processed_pages(pages).head())[2:] == ("some text", "Some TEXT")
+    lines = spark.createDataFrame([(1, "the qubit is here"), (2, "the qubit")], "line_id int, text string")
+    assert [tuple(r) for r in match.top_keywords(lines).collect()] == [("qubit", 2, 0.15)]
