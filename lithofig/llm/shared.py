@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,10 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder (not yet made) below the one that all machines share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder of this machine is taken.
+    tests, a temporary folder of this machine is taken; a cluster without one is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         base = f"file://{tempfile.mkdtemp(prefix='lithofig-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/lithofig-{uuid.uuid4().hex}"
