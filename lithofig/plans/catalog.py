@@ -6,7 +6,7 @@ SQL text that both engines run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithofig.functions import rules
@@ -265,25 +265,29 @@ def fuzzy_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.] ")).alias("sent_ord", "s"))
-    return rows.select("doc_id", "sent_ord", F.when(F.col("sent_ord") % 5 == 0, F.concat(F.lit("Fig. "), (F.col("sent_ord") % 3 + 1).cast("string"), F.lit(" "), "s")).otherwise(F.col("s")).alias("sent"))
+    rows = rows.select("doc_id", "sent_ord", F.when(F.col("sent_ord") % 5 == 0, F.concat(F.lit("Fig. "), (F.col("sent_ord") % 3 + 1).cast("string"), F.lit(" "), "s")).otherwise(F.col("s")).alias("sent"))
+    before = Window.partitionBy("doc_id").orderBy("sent_ord").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("sent") + 1).over(before), F.lit(0)).cast("int")
+    return rows.withColumn("start", start).withColumn("stop", F.col("start") + F.length("sent"))
 
 
 SENTENCE_SQL = """with s as (select doc_id, unnest(string_split(text, '. ')) as s, (generate_subscripts(string_split(text, '. '), 1) - 1)::integer as sent_ord from documents),
 m as (select doc_id, sent_ord, case when sent_ord % 5 = 0 then concat('Fig. ', (sent_ord % 3 + 1)::varchar, ' ', s) else s end as sent from s),
-f as (select *, trim(string_agg(sent, ' ') over (partition by doc_id order by sent_ord rows between current row and 2 following), ' ') as caption,
+p as (select *, coalesce(sum(length(sent) + 1) over (partition by doc_id order by sent_ord rows between unbounded preceding and 1 preceding), 0)::integer as start from m),
+f as (select * exclude (start), start, max((start + length(sent))::integer) over (partition by doc_id order by sent_ord rows between current row and 9 following) as stop, trim(string_agg(sent, ' ') over (partition by doc_id order by sent_ord rows between current row and 2 following), ' ') as caption,
 trim(string_agg(sent, ' ') over (partition by doc_id order by sent_ord rows between current row and 9 following), ' ') as description,
-max(sent_ord) over (partition by doc_id order by sent_ord rows between current row and 9 following) as last_ord, (sent_ord % 3 + 1)::varchar as figure from m)"""
+(sent_ord % 3 + 1)::varchar as figure from p)"""
 
 
-@query(SENTENCE_SQL + " select doc_id, sent_ord, last_ord, figure, caption, description from f where sent_ord % 5 = 0")
+@query(SENTENCE_SQL + " select doc_id, sent_ord, start, stop, figure, caption, description from f where sent_ord % 5 = 0")
 def mention_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.mention_frames(_sentences(spark, sf_dir), joiner=" ", keys=("doc_id",))
 
 
-@query(SENTENCE_SQL + " select doc_id, 'Figure_' || figure as figure_label, arg_min(caption, sent_ord) as caption, count(*)::bigint as n_mentions from f where sent_ord % 5 = 0 group by doc_id, figure")
+@query(SENTENCE_SQL + " select doc_id, 'Figure_' || figure as figure_label, arg_min(caption, sent_ord) as caption, count(*)::bigint as n_mentions, min(start) as first_start, max(stop) as last_stop from f where sent_ord % 5 = 0 group by doc_id, figure")
 def figure_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = layout.mention_frames(_sentences(spark, sf_dir), joiner=" ", keys=("doc_id",)).withColumn("page_number", F.lit(1))
-    return layout.figure_mentions(frames, "doc_id").select("doc_id", "figure_label", "caption", F.size("descriptions").cast("long").alias("n_mentions"))
+    return layout.figure_mentions(frames, "doc_id").select("doc_id", "figure_label", "caption", F.size("descriptions").cast("long").alias("n_mentions"), F.array_min(F.transform("start_end_positions", lambda p: p["start"])).alias("first_start"), F.array_max(F.transform("start_end_positions", lambda p: p["end"])).alias("last_stop"))
 
 
 @query(f"""select paper_id, regexp_extract(lower(content), '(\\d+)\\s*-?\\s*qubits?', 1) as qubits, array_to_string(list_sort(list_distinct(list_filter([
