@@ -89,7 +89,7 @@ STAGES = [
     ("token-ID output", token_output),
 ]
 
-#: The field, the retrieval and the vocabulary are beyond SQL. Tests hold the join and the retrieval against brute force, on small tables; no test does so for all stages in a row.
+#: The field, the retrieval and the vocabulary are beyond SQL. Tests hold the stages after the first against plain versions, each on its own input.
 ORACLE_SQL = None
 
 
