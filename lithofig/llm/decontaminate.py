@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of TF-IDF weighted words are projected on the leading right singular vectors of a sample
-of corpus passages and all benchmark items, found by a randomised SVD whose products with the
-passage matrix are summed over the cluster. Passages near an item by cosine are candidates. A
+Passages of TF-IDF weighted words are projected on the leading right singular vectors of all
+corpus passages and all benchmark items, found by a randomised SVD whose products are taken over
+the cluster with the matrix of word pairs that passages hold. Passages near an item by cosine are candidates. A
 candidate is a leak if the longest common subsequence of the item and the text around the passage
 covers most of the item, and most of the item's end, its answer, as well: so a paraphrase that
 changes, drops or adds words is still found. Words of many documents weigh nothing in that
@@ -27,8 +27,8 @@ MARKS = ".,;:!?\"'()[]{}*#$%&|"
 #: Words in a passage, and from one passage to the next.
 PASSAGE, STRIDE = 24, 12
 RANK, OVERSAMPLE, POWER_ROUNDS, SEED = 192, 16, 2, 11
-#: The basis is fitted on about so many documents, drawn by a hash of id and text, in so many partitions.
-SAMPLE, SAMPLE_PARTS = 4000, 6
+#: Rows of the matrix of word pairs that are dense at once, and distinct pairs that a task sums before it passes them on.
+BLOCK, PAIRS_HELD = 64, 1 << 19
 COSINE = 0.25
 #: Share of a passage's squared TF-IDF norm that item words must make up.
 KNOWN_MASS = 0.15
@@ -188,33 +188,103 @@ def _document_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return counts, n_docs
 
 
-def _summed_products(sample: DataFrame, items: Items, matrix: np.ndarray) -> np.ndarray:
-    """A'(A matrix) for the passages of a sample of few partitions: each task sums its own, blocks of features are then summed."""
-    shared = sample.sparkSession.sparkContext.broadcast((items, matrix))
-    block, width = 512, matrix.shape[1]
+def word_pairs(items: Items, numbers: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Pairs of weighted item words in the same passage, as ``lesser * words + greater``.
 
-    def multiply(batches):
-        items, matrix = shared.value
-        total = np.zeros((-(-items.features // block) * block, width))
-        for batch in in_slices(batches, 0):
-            numbers, offsets = plain_words(batch.column(0), items.vocabulary)
-            starts, stops, _ = passages(numbers, offsets)
-            for some, rows in latent_rows(items, matrix, numbers, starts, stops, AT_ONCE):
-                _add_back(items, total, numbers, starts[some], stops[some], rows)
-        cut = [i for i in range(0, len(total), block) if total[i:i + block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int64()), pa.array([total[i:i + block].tobytes() for i in cut], pa.binary())], names=["at", "part"])
+    Each comes as often as C'C counts it, where row i of C counts the weighted words of passage i.
+    """
+    held = numbers >= 0
+    held[held] = items.weight[numbers[held]] > 0
+    known = np.flatnonzero(held)
+    first, last = np.searchsorted(known, starts), np.searchsorted(known, stops)
+    places = np.arange(len(known))
+    left = ragged(places, first, last - first)
+    room = np.repeat(last, last - first) - left
+    right, left = ragged(places, left, room), np.repeat(left, room)
+    one, other = numbers[known[left]], numbers[known[right]]
+    pairs = np.minimum(one, other) * len(items.vocabulary) + np.maximum(one, other)
+    return np.concatenate([pairs, pairs[(one == other) & (left != right)]])
+
+
+def pair_sums(items: Items, slices: Iterator[pa.Array], most: int = PAIRS_HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word pairs of all passages of all texts and their counts; a pair may come again, as ``most`` are held at once."""
+    held, n = [], 0
+
+    def merged():
+        pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+        return pairs, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+
+    for texts in slices:
+        numbers, offsets = plain_words(texts, items.vocabulary)
+        starts, stops, _ = passages(numbers, offsets)
+        for begin in range(0, len(starts), AT_ONCE):
+            part = slice(begin, begin + AT_ONCE)
+            low, high = starts[part][0], stops[part][-1]
+            held.append(np.unique(word_pairs(items, numbers[low:high], starts[part] - low, stops[part] - low), return_counts=True))
+            n += len(held[-1][0])
+            if n > most:
+                held = [merged()]
+                n = len(held[0][0])
+                if n > most // 2:
+                    yield held[0]
+                    held, n = [], 0
+    if n:
+        yield merged()
+
+
+def _pair_matrix(docs: DataFrame, items: Items) -> DataFrame:
+    """A'A for the passages of all of ``docs``, written by blocks of rows: block, cell in the block and value."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    def add(frame):
-        import pandas as pd
+    def count(batches):
+        for pairs, counts in pair_sums(shared.value, (b.column(0) for b in in_slices(batches, 0))):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(counts)], names=["pair", "n"])
+
+    def spread(batches):
+        items = shared.value
+        for batch in batches:
+            one, other = np.divmod(batch.column(0).to_numpy(), len(items.vocabulary))
+            value = batch.column(1).to_numpy() * items.weight[one] * items.weight[other]
+            apart = one != other
+            rows = items.feature[np.concatenate([one, other[apart]])]
+            cells = rows % BLOCK * items.features + items.feature[np.concatenate([other, one[apart]])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows // BLOCK), pa.array(cells), pa.array(np.concatenate([value, value[apart]]))], names=["at", "cell", "value"])
+
+    pairs = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    made = materialize(pairs.mapInArrow(spread, "at long, cell long, value double").repartition("at").sortWithinPartitions("at"))
+    shared.destroy()
+    return made
 
-        total = np.sum([np.frombuffer(p) for p in frame["part"]], axis=0)
-        return pd.DataFrame({"at": [int(frame["at"].iat[0])], "part": [total.tobytes()]})
 
-    parts = sample.select("text").mapInArrow(multiply, "at long, part binary").groupBy("at").applyInPandas(add, "at long, part binary").collect()
+def _summed_products(pairs: DataFrame, items: Items, matrix: np.ndarray) -> np.ndarray:
+    """A'(A matrix), a block of rows of A'A at a time."""
+    shared = pairs.sparkSession.sparkContext.broadcast(matrix)
+
+    def multiply(batches):
+        matrix = shared.value
+        at, dense = -1, np.zeros((BLOCK, len(matrix)))
+
+        def product():
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([(dense @ matrix).tobytes()], pa.binary())], names=["at", "part"])
+
+        for batch in batches:
+            blocks, cells, values = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero(blocks[1:] != blocks[:-1]) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
+                if begin < end and blocks[begin] != at:
+                    if at >= 0:
+                        yield product()
+                    at, dense[:] = int(blocks[begin]), 0.0
+                np.add.at(dense.reshape(-1), cells[begin:end], values[begin:end])
+        if at >= 0:
+            yield product()
+
+    parts = pairs.mapInArrow(multiply, "at long, part binary").collect()
     shared.destroy()
-    out = np.zeros((-(-items.features // block) * block, width))
-    for r in parts:
-        out[r["at"]:r["at"] + block] = np.frombuffer(r.part).reshape(block, width)
+    out = np.zeros((-(-items.features // BLOCK) * BLOCK, matrix.shape[1]))
+    # a block that lies in several files or splits comes in parts
+    for r in sorted(parts):
+        out[r["at"] * BLOCK:(r["at"] + 1) * BLOCK] += np.frombuffer(r.part).reshape(BLOCK, -1)
     return out[:items.features]
 
 
@@ -250,8 +320,8 @@ def exact_keys(items: Items, counts: np.ndarray) -> list[Keys]:
     return blocks
 
 
-def fit_items(docs: DataFrame, rows: list[tuple[int, str]], sample: int = SAMPLE) -> Items:
-    """Weights from counts over all of ``docs``; the basis from items and a sample of passages."""
+def fit_items(docs: DataFrame, rows: list[tuple[int, str]]) -> Items:
+    """Weights from counts over all of ``docs``; the basis from items and all passages of ``docs``."""
     items = Items.of(rows)
     counts, n = _document_counts(docs, items)
     idf = np.log((1 + n) / (1 + counts)) + 1
@@ -262,19 +332,17 @@ def fit_items(docs: DataFrame, rows: list[tuple[int, str]], sample: int = SAMPLE
     items.exact = exact_keys(items, counts)
     rng = np.random.default_rng(SEED)
     width = min(RANK + OVERSAMPLE, items.features)
-    wide = 1 << 30
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(wide)) < int(wide * min(1.0, sample / max(n, 1)))).select("text")
-    drawn = materialize(drawn.repartition(SAMPLE_PARTS))
+    pairs = _pair_matrix(docs, items)
     flat = np.array([w for words in items.words for w in words], dtype=np.int64)
     bounds = np.concatenate([[0], np.cumsum([len(w) for w in items.words])]).astype(np.int64)
     step = rng.standard_normal((items.features, width))
     for _ in range(POWER_ROUNDS):
         step = np.linalg.qr(step)[0]
-        total = _summed_products(drawn, items, step)
+        total = _summed_products(pairs, items, step)
         for some, own in latent_rows(items, step, flat, bounds[:-1], bounds[1:], AT_ONCE):
             _add_back(items, total, flat, bounds[:-1][some], bounds[1:][some], own)
         step = total
-    discard(drawn)
+    discard(pairs)
     give_back()
     q, r = np.linalg.qr(step)
     left, _, _ = np.linalg.svd(r)
