@@ -63,3 +63,18 @@ def test_pairs_passed_on_early_sum_to_the_same():
     assert summed == dict(zip(whole[0].tolist(), whole[1].tolist(), strict=True))
     assert all(p // 100 % 7 and p % 100 % 7 for p in summed)
     assert list(decontaminate.pair_sums(items, iter([pa.array([None, "", "x1 x2"])]))) == []
+
+
+def test_pipeline_stage_fits_on_all_its_rows(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    bench, texts = corpus()
+    texts[17] += " " + bench[4][1]
+    fitted, whole = [], decontaminate.fit_items
+    monkeypatch.setattr(decontaminate, "fit_items", lambda *given: fitted.append(whole(*given)) or fitted[-1])
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(DOCS) if i != 17]
+    items, = fitted
+    assert off_by(items, bench, texts) < 1e-9
