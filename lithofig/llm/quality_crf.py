@@ -7,16 +7,20 @@ a logistic curve fitted on the training documents turns that share into a score.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithofig.llm.shared import bound_batches, by_text, give_back, sums_between, words_of
+from lithofig.llm.shared import bound_batches, by_text, discard, give_back, in_slices, materialize, sums_between, words_of
 
-#: The field is fitted on at most so many labelled documents, those with the least id hashes.
-SAMPLE = 3000
+#: Lines of labelled documents that are fitted on the driver; more stay on the cluster, which sums each step.
+DRIVER_LINES = 50_000
+#: Labels broadcast to the scan; beyond that both sides are shuffled.
+BROADCAST_LABELS = 2_000_000
 #: Texts whose features are computed at once for the fit, which bounds the driver's memory.
 FIT_AT_ONCE = 100
 STEPS, RATE, RIDGE = 120, 0.1, 1e-3
@@ -64,11 +68,31 @@ def line_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.minimum(counts[:, 5] / words, 4), (counts[:, 5] > 0.3 * words).astype(float), np.minimum(counts[:, 6] / words, 1), np.minimum(counts[:, 7] / words, 2),
         counts[:, 2] / whole, np.minimum(counts[:, 4] / words, 1), np.minimum(whole / words, 20) / 20, letters / whole], 1)
     own = np.concatenate([own, _repeats(texts, data, offsets, bounds)], 1)
+    return _with_neighbours(own, lines), whole, lines
+
+
+def _with_neighbours(own: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Each line's own features, those of the lines before and after it in its text, and a one."""
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[lines[:-1]] = 0
     after[lines[1:] - 1] = 0
-    return np.concatenate([own, before, after, np.ones((len(own), 1))], 1), whole, lines
+    return np.concatenate([own, before, after, np.ones((len(own), 1))], 1)
+
+
+def _packed(own: np.ndarray, whole: np.ndarray, lines: np.ndarray) -> pa.Array:
+    """Own features and lengths of all lines of each text as one binary value."""
+    table = np.column_stack([own, whole])
+    return pa.Array.from_buffers(pa.binary(), len(lines) - 1, [None, pa.py_buffer((lines * table[:1].nbytes).astype(np.int32)), pa.py_buffer(table)])
+
+
+def _unpacked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``line_table`` returned for texts that were packed."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    table = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]].view(np.float64).reshape(-1, OWN + 1)
+    lines = (offsets - offsets[0]) // (8 * (OWN + 1))
+    return _with_neighbours(table[:, :OWN], lines), table[:, OWN], lines
 
 
 def _repeats(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -135,34 +159,50 @@ class LineField:
         lines = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
         del parts
         give_back()
+        return self.fit_lines(features, length, lines, quality)
+
+    def fit_lines(self, features: np.ndarray, length: np.ndarray, lines: np.ndarray, quality: np.ndarray) -> LineField:
+        good = int((quality == 1).sum())
+        self.climb(lambda: self.slopes(features, lines, quality), len(quality) - good, good)
+        x = self._logit(self.share(features, length, lines))
+        return self.calibrate(lambda a, b: curve_sums(x, quality, a, b))
+
+    def slopes(self, features: np.ndarray, lines: np.ndarray, quality: np.ndarray) -> np.ndarray:
+        """Sums over the bad and the good documents of the slope of each one's mean likelihood of a line: 2 x weights."""
         sizes = np.diff(lines)
-        label = np.repeat(quality, sizes).astype(np.float64)
+        label = np.repeat(quality, sizes).astype(np.int64)
         weight = np.repeat(1.0 / sizes, sizes)
-        balance = np.where(quality == 1, 0.5 / max(1, (quality == 1).sum()), 0.5 / max(1, (quality == 0).sum()))
-        weight *= np.repeat(balance, sizes)
         inner = np.ones(len(features), bool)
         inner[lines[1:] - 1] = False
-        seen = np.zeros((int(inner.sum()), 2, 2))
         at = np.flatnonzero(inner)
-        seen[np.arange(len(at)), label[at].astype(int), label[at].astype(int)] = 1
+        good, pair = self.marginals(features, lines)
+        pair = -pair
+        pair[np.arange(len(at)), label[at], label[at]] += 1
+        pair = pair.reshape(-1, 4) * weight[at][:, None]
+        return np.stack([np.concatenate([features.T @ (weight * (label == k) * (label - good)), pair[label[at] == k].sum(0)]) for k in range(2)])
+
+    def climb(self, slopes: Callable[[], np.ndarray], bad: int, good: int) -> None:
+        """Take the Adam steps; ``slopes`` sums over all documents, in which both labels weigh alike."""
+        balance = np.array([0.5 / max(1, bad), 0.5 / max(1, good)])
+        self.prior = good / (bad + good)
         theta, m, v = np.zeros(FEATURES + 4), 0.0, 0.0
         for step in range(1, STEPS + 1):
             self.emit, self.move = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
-            good, pair = self.marginals(features, lines)
-            slope = np.concatenate([features.T @ (weight * (label - good)), ((seen - pair) * weight[at][:, None, None]).sum(0).ravel()]) - RIDGE * theta
+            slope = balance @ slopes() - RIDGE * theta
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.emit, self.move = theta[:FEATURES].copy(), theta[FEATURES:].reshape(2, 2).copy()
-        x = self._logit(self.share(features, length, lines))
-        self.prior = float(quality.mean())
+
+    def calibrate(self, sums: Callable[[float, float], np.ndarray]) -> LineField:
+        """Newton steps of a ridged logistic curve; ``sums`` are those of ``curve_sums`` over all documents."""
         a, b = 1.0, 0.0
-        for _ in range(50):  # Newton steps of a ridged logistic curve
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            w = p * (1 - p) + 1e-6
-            grad = np.array([((quality - p) * x).sum() - a, (quality - p).sum() - 1e-3 * b])
-            hess = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-            a, b = np.array([a, b]) + np.linalg.solve(hess, grad)
-        self.slope, self.level = float(a), float(b)
+        for _ in range(50):
+            first, second, xx, x, w = sums(a, b)
+            step = np.linalg.solve(np.array([[xx + 1, x], [x, w + 1e-3]]), np.array([first - a, second - 1e-3 * b]))
+            a, b = float(a + step[0]), float(b + step[1])
+            if np.abs(step).max() < 1e-12:
+                break
+        self.slope, self.level = a, b
         return self
 
     @staticmethod
@@ -178,21 +218,78 @@ class LineField:
         return np.where(empty, self.prior, score)
 
 
-def fit_line_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> LineField | None:
-    """Fit on at most ``sample`` labelled documents; None if no label has a document.
+def curve_sums(x: np.ndarray, quality: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Slopes of a logistic curve's likelihood in ``a`` and ``b``, and its curvatures in both, each and ``b``."""
+    p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    w = p * (1 - p) + 1e-6
+    return np.array([((quality - p) * x).sum(), (quality - p).sum(), (w * x * x).sum(), (w * x).sum(), w.sum()])
+
+
+def _line_features(batches):
+    for batch in in_slices(batches, 0):
+        features, whole, lines = line_table(batch.column(0))
+        yield pa.RecordBatch.from_arrays([_packed(features[:, :OWN], whole, lines), batch.column(1), pa.array(np.diff(lines))], names=["packed", "y", "n"])
+
+
+def _summed(rows: DataFrame, function: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of what ``function`` returns for all batches of ``rows``."""
+
+    def run(batches):
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + function(batch)
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int32()))], names=["part", "shape"])
+
+    # in an order of their own, as that of tasks may change
+    parts = sorted(rows.mapInArrow(run, "part binary, shape array<int>").collect())
+    return sum(np.frombuffer(r.part).reshape(r["shape"]) for r in parts)
+
+
+def _fit_on_cluster(packed: DataFrame, bad: int, good: int) -> LineField:
+    """What ``LineField.fit`` does, where each step's sums over all documents are taken by the tasks."""
+    field = LineField()
+
+    def slopes(batch):
+        features, _, lines = _unpacked(batch.column(0))
+        return field.slopes(features, lines, batch.column(1).to_numpy())
+
+    def logits(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(field._logit(field.share(*_unpacked(batch.column(0))))), batch.column(1)], names=["x", "y"])
+
+    field.climb(lambda: _summed(packed.select("packed", "y"), slopes), bad, good)
+    curve = materialize(packed.select("packed", "y").mapInArrow(logits, "x double, y int"))
+    field.calibrate(lambda a, b: _summed(curve, lambda batch: curve_sums(batch.column(0).to_numpy(), batch.column(1).to_numpy(), a, b)))
+    discard(curve)
+    return field
+
+
+def fit_line_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField | None:
+    """Fit on all labelled documents; None if no label has a document.
 
     ``labels`` holds ids with quality 0 or 1; rows with a null are left out, repeated ones count
-    as often as they stand there. The sampled ids (a bounded number) are broadcast to the scan.
+    as often as they stand there. Features of the lines are written once; DRIVER_LINES of them
+    or fewer are fitted on the driver, else each step sums over the cluster.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text").collect()
-    rows.sort(key=lambda r: (r.id, r.y, r.text or ""))
-    if not rows:
-        return None
-    texts, quality = pa.array([r.text for r in rows], pa.string()), np.array([r.y for r in rows])
-    del rows
-    field = LineField().fit(texts, quality)
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").join(known, "id").select("text", "y")
+    packed = materialize(rows.mapInArrow(_line_features, "packed binary, y int, n long"))
+    counts = {r.y: r for r in packed.groupBy("y").agg(F.count("*").alias("docs"), F.sum("n").alias("lines")).collect()}
+    bad, good = (counts[k].docs if k in counts else 0 for k in range(2))
+    if not counts:
+        field = None
+    elif sum(r.lines for r in counts.values()) <= DRIVER_LINES:
+        # in an order of their own, as that of rows may change
+        here = sorted(packed.select("packed", "y").collect())
+        field = LineField().fit_lines(*_unpacked(pa.array([r.packed for r in here], pa.binary())), np.array([r.y for r in here]))
+    else:
+        field = _fit_on_cluster(packed, bad, good)
+    discard(packed)
     give_back()
     return field
 
