@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lithofig.llm import decontaminate, language_id, mixing, quality_crf, secret_scan, token_counts, token_records, url_rules, vector_dedup
+from lithofig.llm import decontaminate, language_id, mixing, quality_crf, queries, secret_scan, token_counts, token_records, url_rules, vector_dedup
 from lithofig.llm.components import connected_components
 
 P = pytest.importorskip("public_tokenizers")
@@ -153,6 +153,14 @@ def test_many_url_rules_in_slices(spark, monkeypatch):
     assert got == {i: brute_url(u, rules) for i, u in enumerate(urls)}
 
 
+def test_url_query_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    urls = [f"https://{host}{path}x" for host in ("com", "a.example.com", "example.net", "b.net", "x.org") for path in ("/en/", "/en/7", "/de/", "/de/8", "/es/", "/")]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op3_url_rules(spark, str(tmp_path)).collect()}
+    assert got == {i: brute_url(u, rules) for i, u in enumerate(urls)}
+
+
 def test_language_model(spark):
     texts = [("en", "the house of the river and the stone"), ("de", "das haus der und ein stein über straße"), ("fr", "la maison de la rivière et une pierre")] * 4
     df = spark.createDataFrame([(i, t, lang, 1) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string, score int")
