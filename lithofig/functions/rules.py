@@ -7,6 +7,8 @@ for plain text. Patterns follow Java; ``rx`` adds Unicode classes and line ends
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -21,12 +23,28 @@ class Literal:
     text: str
 
 
+@dataclass(frozen=True)
+class Only:
+    """Rules that change nothing in a text without any of ``marks``; such a text passes them by, undecoded."""
+
+    marks: tuple[str, ...]
+    rules: tuple
+
+
+def only(*marks: str):
+    return lambda *rules: Only(marks, rules)
+
+
 def rx(pattern: str, flags: str = "") -> str:
     return f"(?Ud{flags}){pattern}"
 
 
 def fold(column: Column, rules) -> Column:
-    for pattern, replacement in rules:
+    for rule in rules:
+        if isinstance(rule, Only):
+            column = once(column, _passing(rule))
+            continue
+        pattern, replacement = rule
         if isinstance(pattern, Literal):
             column = F.replace(column, F.lit(pattern.text), F.lit(replacement))
         else:
@@ -34,6 +52,14 @@ def fold(column: Column, rules) -> Column:
     return column
 
 
+def _passing(only: Only):
+    def use(text: Column) -> Column:
+        marked = reduce(or_, [F.contains(text, F.lit(m)) for m in only.marks])
+        return F.when(marked, fold(text, only.rules)).otherwise(text)
+
+    return use
+
+
 def strip(column: Column) -> Column:
     return F.regexp_replace(column, rx(r"^\s+|\s+$"), "")
 
@@ -84,65 +110,67 @@ EMBEDDING = [
     (Literal("!"), "."),
     (Literal("?"), "."),
 ]
-HONORIFICS = [(Literal(f" {h} "), f" {h.replace('.', '')} ") for h in ("mrs.", "ms.", "mr.", "dr.", "prof.", "dr.-ing.")]
-PLACEHOLDERS = [(rx(r"http\S+"), " hrefl "), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " email ")]
-LINES = [(rx(r"(-)?\n\d+\n+"), "$1 "), (Literal("\n"), " "), (Literal("|"), " "), (Literal("`"), " "), (Literal(":_"), " "), (Literal("_"), " "), *HONORIFICS]
+HONORIFICS = [only(f" {h} ")((Literal(f" {h} "), f" {h.replace('.', '')} ")) for h in ("mrs.", "ms.", "mr.", "dr.", "prof.", "dr.-ing.")]
+PLACEHOLDERS = [only("http")((rx(r"http\S+"), " hrefl ")), only("@")((r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " email "))]
+LINES = [only("\n")((rx(r"(?=[-\n])(-)?\n\d+\n+"), "$1 "), (Literal("\n"), " ")), only("|")((Literal("|"), " ")), only("`")((Literal("`"), " ")), only("_")((Literal(":_"), " "), (Literal("_"), " ")), *HONORIFICS]
 MATH_ENVIRONMENTS = ["equation", "align", "gather", "multline", "flalign"]
 LATEX_HEAD = [
     (r"[&()\[\]§=,]", ""),
     (r"[`:_]", " "),
-    *[(r"\\text[a-z]+\{([^{}]*)\}", "$1")] * 10,
-    (rx(r"\\begin\{figure\}.*?\\caption\{([^}]*)\}.*?\\end\{figure\}", "s"), "<caption_start>$1<caption_end>"),
-    (rx(r"^\s*%.*$", "m"), ""),
-    (rx(r"[^\\]%.*$", "m"), ""),
-    (rx(r"\\begin\{thebibliography\}.*?\\end\{thebibliography\}", "s"), ""),
-    (r"\\bibliography\{[^}]*\}", ""),
-    (r"\\bibliographystyle\{[^}]*\}", ""),
-    (r"\\printbibliography(\[[^\]]*\])?", ""),
-    (r"\\addbibresource\{[^}]*\}", ""),
-    (r"\\author\{[^}]*\}", ""),
-    (r"\\affiliation\{[^}]*\}", ""),
-    (rx(r"^.*?\\begin\{document\}", "s"), ""),
-    (rx(r"\\maketitle\s*"), ""),
+    only("\\text")(*[(r"\\text[a-z]+\{([^{}]*)\}", "$1")] * 10),
+    only("\\begin{figure}")((rx(r"\\begin\{figure\}.*?\\caption\{([^}]*)\}.*?\\end\{figure\}", "s"), "<caption_start>$1<caption_end>")),
+    only("%")((rx(r"^\s*%.*$", "m"), ""), (rx(r"[^\\]%.*$", "m"), "")),
+    only("bib")(
+        (rx(r"\\begin\{thebibliography\}.*?\\end\{thebibliography\}", "s"), ""),
+        (r"\\bibliography\{[^}]*\}", ""),
+        (r"\\bibliographystyle\{[^}]*\}", ""),
+        (r"\\printbibliography(\[[^\]]*\])?", ""),
+        (r"\\addbibresource\{[^}]*\}", ""),
+    ),
+    only("\\a")((r"\\author\{[^}]*\}", ""), (r"\\affiliation\{[^}]*\}", "")),
+    only("\\begin{document}")((rx(r"^.*?\\begin\{document\}", "s"), "")),
+    only("\\maketitle")((rx(r"\\maketitle\s*"), "")),
     (rx(r"^\s+|\s+$"), ""),
-    (rx(r"\\begin\{tabular\}.*?\\end\{tabular\}", "s"), ""),
-    *[(rx(rf"\\begin\{{{e}\}}.*?\\end\{{{e}\}}", "s"), "") for e in MATH_ENVIRONMENTS],
-    (rx(r"\$\$.*?\$\$", "s"), ""),
-    (rx(r"\$.*?\$"), ""),
-    (rx(r"\\\(.*?\\\)", "s"), ""),
-    (rx(r"\\\[.*?\\\]", "s"), ""),
-    (rx(r"[~\s]*\\(ref|eqref|autoref|pageref)\{[^}]*\}"), ""),
-    (rx(r"[~\s]*\\cite(t|p|author|year|alp|alt|num)?\{[^}]*\}\s*"), " "),
-    (r"[\[{⟨〈⟪「『【〔⦃⦅]", "("),
-    (r"[\]}⟩〉⟫」』】〕⦄⦆]", ")"),
-    (Literal("(("), "("),
-    (Literal("))"), ")"),
-    (Literal("\\"), ""),
-    (rx(r"\(\s*\)"), ""),
+    only("\\begin{")(
+        (rx(r"\\begin\{tabular\}.*?\\end\{tabular\}", "s"), ""),
+        *[(rx(rf"\\begin\{{{e}\}}.*?\\end\{{{e}\}}", "s"), "") for e in MATH_ENVIRONMENTS],
+    ),
+    only("$")((rx(r"\$\$.*?\$\$", "s"), ""), (rx(r"\$.*?\$"), "")),
+    only("\\(")((rx(r"\\\(.*?\\\)", "s"), "")),
+    only("\\[")((rx(r"\\\[.*?\\\]", "s"), "")),
+    only("ref{")((rx(r"[~\s]*+\\(ref|eqref|autoref|pageref)\{[^}]*\}"), "")),
+    only("\\cite")((rx(r"[~\s]*+\\cite(t|p|author|year|alp|alt|num)?\{[^}]*\}\s*"), " ")),
+    # the range is asked first, so that most letters are passed after two comparisons
+    (r"[\[{[\u27E8-\u3015\u2983-\u2986&&[⟨〈⟪「『【〔⦃⦅]]]", "("),
+    (r"[\]}[\u27E8-\u3015\u2983-\u2986&&[⟩〉⟫」』】〕⦄⦆]]]", ")"),
+    only("((")((Literal("(("), "(")),
+    only("))")((Literal("))"), ")")),
+    only("\\")((Literal("\\"), "")),
+    only("(")((rx(r"\(\s*\)"), "")),
 ]
 LATEX_TAIL = [
     *LINES,
-    (rx(r"(?:\.\s+)+\."), " "),
-    (r"(- |[A-Za-z0-9][-–][A-Za-z0-9]| –)", ""),
-    (r" {2,}", " "),
+    only(".")((rx(r"(?=\.\s)(?:\.\s+)+\."), " ")),
+    only("-", "–")((r"(- |[A-Za-z0-9][-–][A-Za-z0-9]| –)", "")),
+    only("  ")((r" {2,}", " ")),
     *PLACEHOLDERS,
-    (Literal("~"), ""),
-    (Literal('"'), ""),
-    (Literal("'"), ""),
-]
-SYMBOLS = [
-    (r"([!.,?=-])[!.,?=-]+", " $1 "),
-    (r"([0-2][0-9]:[0-5][0-9]([pm]|[am])*)|([0-2]*[0-9]*:*[0-5][0-9]([pm]|[am])+)|([0-9][0-9]*([pm]|[am])+)", " tiform "),
-    (r"[0-3]*[0-9]/[0-9]*/[0-9]+", " dtform "),
+    only("~")((Literal("~"), "")),
+    only('"')((Literal('"'), "")),
+    only("'")((Literal("'"), "")),
 ]
-POINTS = [(rx(r"(?<![.!?:;\s])(\w)([.,:;!?])\s+"), "$1 $2 ")]
+TIMES = r"([0-2][0-9]:[0-5][0-9]([pm]|[am])*)|([0-2]*[0-9]*:*[0-5][0-9]([pm]|[am])+)|([0-9][0-9]*([pm]|[am])+)"
+DATES = r"[0-3]*[0-9]/[0-9]*/[0-9]+"
+# every time begins with a digit or a colon
+SYMBOLS = [(r"([!.,?=-])[!.,?=-]+", " $1 "), (rf"(?=[0-9:])(?:{TIMES})", " tiform "), only("/")((DATES, " dtform "))]
+# what follows the letter is asked before the letter
+POINTS = [(rx(r"(?=.[.,:;!?]\s)(?<![.!?:;\s])(\w)([.,:;!?])\s+"), "$1 $2 ")]
 PAGE = [
     (rx(r"\n\s*(fig(?:ure)?)[.]?\b", "i"), "<figure>"),
 ]
 PAGE_TAIL = [
     *LINES,
     (rx(r"\[[0-9,\s\-–]+\]"), ""),
-    (rx(r"(?:\.\s+)+\."), " "),
+    only(".")((rx(r"(?=\.\s)(?:\.\s+)+\."), " ")),
     (r"([A-Za-z0-9])[-–]([A-Za-z0-9])", "$1$2"),
     (r"[“\"]([^“\"]+)[”\"]", "<QUOTE> $1 </QUOTE>"),
     (r"[‘']([^‘']+)[’']", "<QUOTE> $1 </QUOTE>"),
@@ -199,7 +227,7 @@ def _replace_first(texts: pd.Series) -> pd.Series:
     """Symbols, times, dates and points found in one text but replaced at their first place in the growing one."""
     import re
 
-    finders = [(re.compile(SYMBOLS[0][0]), lambda m: f" {m[0]} "), (re.compile(SYMBOLS[1][0]), lambda m: " tiform "), (re.compile(SYMBOLS[2][0]), lambda m: " dtform ")]
+    finders = [(re.compile(SYMBOLS[0][0]), lambda m: f" {m[0]} "), (re.compile(TIMES), lambda m: " tiform "), (re.compile(DATES), lambda m: " dtform ")]
     points = re.compile(r"(?<![.!?:;\s])\w[.,:;!?]\s+")
 
     def one(text):

@@ -1,5 +1,7 @@
 import io
+import random
 import tarfile
+import time
 
 import duckdb
 import numpy as np
@@ -272,3 +274,21 @@ def test_processed_text_and_stop_words(spark):
     assert tuple(flows.processed_pages(pages).head())[2:] == ("some text", "Some TEXT")
     lines = spark.createDataFrame([(1, "the qubit is here"), (2, "the qubit")], "line_id int, text string")
     assert [tuple(r) for r in match.top_keywords(lines).collect()] == [("qubit", 2, 0.15)]
+
+
+def test_marks_change_no_text_and_spare_long_words(spark):
+    """Chains with marks equal the same rules without; a long word without an at sign took its square."""
+    def bare(table):
+        return [x for r in table for x in (bare(r.rules) if isinstance(r, rules.Only) else [r])]
+
+    rnd = random.Random(8)
+    bits = ["a", "é", "12", ":", " ", "  ", "\n", "\t", ".", ",", "-", "–", "/", "9pm", "%", "\\", "{", "}", "⟨", "〕", "⦆", "$", "\\ref{a}", "\\cite{b} ", "\\textbf{q}", "\\begin{figure}\\caption{c}\\end{figure}", "\\begin{document}",
+            "\\begin{align}x\\end{align}", "\\author{n}", "\\maketitle ", "\\bibliography{k}", "~", "'", '"', "_", ":_", "|", " mr. ", " dr.-ing. ", "http://x.y ", "me@x.org", "3/4/20", "x. ", "word. "]
+    texts = spark.createDataFrame([(None,), ("",), (" \t ",), *[("".join(rnd.choice(bits) for _ in range(rnd.randrange(40))),) for _ in range(2000)]], "t string")
+    for table in (rules.LATEX_HEAD, rules.LATEX_TAIL, rules.PAGE_TAIL, rules.SYMBOLS):
+        assert texts.select(rules.fold(F.col("t"), table).alias("a"), rules.fold(F.col("t"), bare(table)).alias("b")).where("not a <=> b").count() == 0
+    got = texts.select("t", rules.strip(F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == [r.t and r.t.strip() for r in got]
+    begun = time.time()
+    assert one(spark, rules.latex_text, "ab" * 150_000) == "ab" * 150_000
+    assert time.time() - begun < 20
