@@ -226,20 +226,34 @@ def latex_text(text: Column, strip_starred: bool = False) -> Column:
 def _replace_first(texts: pd.Series) -> pd.Series:
     """Symbols, times, dates and points found in one text but replaced at their first place in the growing one."""
     import re
+    from collections import Counter
+    from itertools import groupby
 
-    finders = [(re.compile(SYMBOLS[0][0]), lambda m: f" {m[0]} "), (re.compile(TIMES), lambda m: " tiform "), (re.compile(DATES), lambda m: " dtform ")]
-    points = re.compile(r"(?<![.!?:;\s])\w[.,:;!?]\s+")
+    signs, times, dates = re.compile(r"[!.,?=-][!.,?=-]+"), re.compile(TIMES), re.compile(DATES)
+    # the stop is sought first, then the letter before it: what begins with a small class is found faster
+    digits, points = re.compile(r"[0-9][:amp]"), re.compile(r"([.,:;!?])(?<=(?<![.!?:;\s])(\w).)(\s+)")
 
     def one(text):
         if text is None:
             return None
-        found = [[m.group() for m in finder.finditer(text)] for finder, _ in finders]
-        for (_, to), matches in zip(finders, found, strict=True):
-            for m in matches:
-                text = text.replace(m, to(m), 1)
+        found = [(m, f" {m[0]} ") for m in signs.findall(text)]
+        if digits.search(text):  # no time without
+            found += [(m.group(), " tiform ") for m in times.finditer(text)]
+        if "/" in text:
+            found += [(m.group(), " dtform ") for m in dates.finditer(text)]
+        for m, to in found:
+            text = text.replace(m, to, 1)
         text = f" {text} "
-        for m in [m.group() for m in points.finditer(text)]:
-            text = text.replace(m, f"{m[0]} {m[1]} ", 1)
+        places = points.findall(text)
+        found = Counter(places)
+        pairs = Counter(m[:2] for m in found)
+        # equal points go at once; those that differ in their white space only may hold each other, and go in turn
+        runs = [(m, n) for m, n in found.items() if pairs[m[:2]] == 1]
+        if len(pairs) < len(found):
+            clashing = sorted((m for m in places if pairs[m[:2]] > 1), key=lambda m: m[:2])
+            runs += [(m, len(list(equal))) for m, equal in groupby(clashing)]
+        for (stop, letter, space), n in runs:
+            text = text.replace(letter + stop + space, f"{letter} {stop} ", n)
         return text.strip()
 
     return texts.map(one)

@@ -1,10 +1,12 @@
 import io
 import random
+import re
 import tarfile
 import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +294,26 @@ def test_marks_change_no_text_and_spare_long_words(spark):
     begun = time.time()
     assert one(spark, rules.latex_text, "ab" * 150_000) == "ab" * 150_000
     assert time.time() - begun < 20
+
+
+def test_compat_replaces_first_places_in_one_pass(spark):
+    """Equal to replacing match by match, and not with the square of the matches."""
+    finders = [(r"([!.,?=-])[!.,?=-]+", lambda m: f" {m[0]} "), (rules.TIMES, lambda m: " tiform "), (rules.DATES, lambda m: " dtform ")]
+
+    def brute(text):
+        found = [[m.group() for m in re.finditer(p, text)] for p, _ in finders]
+        for (_, to), matches in zip(finders, found, strict=True):
+            for m in matches:
+                text = text.replace(m, to(m), 1)
+        text = f" {text} "
+        for m in [m.group() for m in re.finditer(r"(?<![.!?:;\s])\w[.,:;!?]\s+", text)]:
+            text = text.replace(m, f"{m[0]} {m[1]} ", 1)
+        return text.strip()
+
+    rnd = random.Random(9)
+    bits = ["a", "ab", "é", "𠀀", "1", "23", ":", " ", "  ", "\t", ".", ". ", ".\t ", ", ", "!", "?", "-", "=", "/", "9pm", "12:30", "3/4/20", "word. ", "a.  ", "a. "]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(60))) for _ in range(5000)]
+    assert list(rules._replace_first.func(pd.Series([None, *texts]))) == [None, *map(brute, texts)]
+    begun = time.time()
+    assert rules._replace_first.func(pd.Series(["word. " * 200_000]))[0] == ("word . " * 200_000).strip()
+    assert time.time() - begun < 10
