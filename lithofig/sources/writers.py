@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of records up to which an object is one row, and in a piece of a larger one, about.
+WHOLE_BYTES, PIECE_BYTES = 32 << 20, 4 << 20
+
+
 def keyed_json(records: DataFrame, key: str = "image_key") -> DataFrame:
-    """One row whose ``value`` is an object of all records by key, indented. For exports; engines write JSON lines."""
+    """Column ``value``: an object of all records by key, indented. For exports; engines write JSON lines.
+
+    Up to ``WHOLE_BYTES`` it is one row. A larger one comes in rows, in the order of their keys,
+    that are cut at line ends between records: joined by line ends, as a text sink writes them,
+    they are the one object, and no task holds more than a few of them. Records are kept on the
+    executors' disks from the first call on.
+    """
     fields = [c for c in records.columns if c not in (key, "qubits")]
-    entries = F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value"))))
-    return records.agg(F.to_json(F.map_from_entries(entries), {"pretty": "true"}).alias("value"))
+    entries = records.select(F.col(key).alias("key"), F.struct(*fields).alias("value")).persist(StorageLevel.DISK_ONLY)
+    size, least = entries.agg(F.sum(F.octet_length(F.to_json("value"))), F.min("key")).first()
+    pieces = -(-(size or 0) // PIECE_BYTES)
+    if (size or 0) <= WHOLE_BYTES:
+        return entries.agg(_object(F.collect_list(F.struct("key", "value"))).alias("value"))
+    # keys drawn by hash, some for each piece, bound the pieces; each bound is a key of its own piece, so none is empty
+    n = entries.count()
+    drawn = entries.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (pieces * 64)))) == 0).where(F.col("key") > least).select("key").distinct()
+    keys = sorted(r.key.encode() for r in drawn.collect())
+    step = max(1, len(keys) // pieces)
+    bounds = [k.decode() for k in keys[step::step]]
+    at = F.lit(0) if not bounds else F.coalesce(_bounds_up_to(F.col("key"), bounds), F.lit(0))
+    placed = entries.withColumn("piece", at).repartition(len(bounds) + 1, "piece")
+    value = placed.groupBy("piece").agg(_object(F.collect_list(F.struct("key", "value"))).alias("value"))
+    body = F.when(F.col("piece") > 0, F.substring("value", F.lit(3), F.length("value"))).otherwise(F.col("value"))
+    whole = F.when(F.col("piece") < len(bounds), F.concat(F.substring(body, F.lit(1), F.length(body) - 2), F.lit(","))).otherwise(body)
+    return value.select("piece", whole.alias("value")).orderBy("piece").select("value")
+
+
+def _object(entries: Column) -> Column:
+    return F.to_json(F.map_from_entries(F.sort_array(entries)), {"pretty": "true"})
+
+
+def _bounds_up_to(key: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds are not above a key, by halving."""
+    table = F.array(*[F.lit(b) for b in bounds])
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, lambda s, _: F.when(s["lo"] >= s["hi"], s).when(
+        F.get(table, half(s)) <= key, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi"))))
+    return found["lo"]
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import re
 import tarfile
@@ -317,3 +318,17 @@ def test_compat_replaces_first_places_in_one_pass(spark):
     begun = time.time()
     assert rules._replace_first.func(pd.Series(["word. " * 200_000]))[0] == ("word . " * 200_000).strip()
     assert time.time() - begun < 10
+
+
+def test_keyed_json_in_pieces_is_one_object(spark, monkeypatch):
+    rows = [(f"k{i * 7919 % 500}", i, [f"t{i}\n\"é" * (i % 40)], "q") for i in range(500)] + [("0", 1, None, None), ("é", 2, ["x"], None), ("𠀀", 3, [], None), ("\uffff", 4, [], None)]
+    records = spark.createDataFrame(rows, "image_key string, n int, description array<string>, qubits string")
+    (whole,) = [r.value for r in writers.keyed_json(records).collect()]
+    monkeypatch.setattr(writers, "WHOLE_BYTES", 4096)
+    monkeypatch.setattr(writers, "PIECE_BYTES", 4096)
+    parts = [r.value for r in writers.keyed_json(records).collect()]
+    assert len(parts) > 10 and max(map(len, parts)) < len(whole) / 3
+    assert "\n".join(parts) == whole and len(json.loads(whole)) == len(rows)
+    assert [r.value for r in writers.keyed_json(records.limit(0)).collect()] == ["{ }"]
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        writers.keyed_json(records.union(records)).collect()
