@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -134,6 +135,25 @@ def term_boost(term: Column) -> Column:
     return F.when(term.isin(*STRONG_TERMS), 0.15).when(words == 1, 0.05).when(topic, 0.10).otherwise(0.15)
 
 
+#: Words that n-grams are sought from are named to the tasks up to so many; beyond, all n-grams are counted.
+FEW_WORDS = 2000
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(term, cnt, lines) of the arrays ``w``. A line is one row: its terms are sorted and counted in place, and shuffled once, by term."""
+    ends = lambda g, i: F.coalesce((F.get(g, i + 1) != F.get(g, i)).cast("long"), F.lit(1).cast("long"))
+    ordered = once(F.sort_array("w"), lambda g: F.transform(g, lambda x, i: F.struct(x.alias("term"), ends(g, i).alias("last"))))
+    return rows.select(F.inline(ordered)).groupBy("term").agg(F.count("*").alias("cnt"), F.sum("last").alias("lines"))
+
+
+def _grams(n: int) -> Column:
+    """n-grams of the array ``w``; those across a null are none."""
+    starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+    parts = F.transform(starts, lambda i: F.slice("w", i, n))
+    whole = F.filter(parts, lambda g: ~F.exists(g, lambda x: x.isNull()))
+    return F.when(F.size("w") >= n, F.transform(whole, lambda g: F.array_join(g, " "))).otherwise(F.array().cast("array<string>"))
+
+
 def top_keywords(lines: DataFrame, stop_words: list[str] | None = None, top: int = 50, longest: int = 3, least: int = 2, key: str = "line_id", text: str = "text") -> DataFrame:
     """The most frequent n-grams that ``least`` lines or more hold: (term, cnt, boost). Stop words go first.
 
@@ -145,13 +165,18 @@ def top_keywords(lines: DataFrame, stop_words: list[str] | None = None, top: int
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words) if stop_words else F.lit(True))
     rows = lines.select(F.col(key).alias("line"), words.alias("w"))
-    def grams_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*[grams_of(n) for n in range(1, longest + 1)]))
-    # a line is one row: its terms are sorted and counted in place, and shuffled once, by term
-    ends = lambda g, i: F.coalesce((F.get(g, i + 1) != F.get(g, i)).cast("long"), F.lit(1).cast("long"))
-    ordered = once(F.sort_array(grams), lambda g: F.transform(g, lambda x, i: F.struct(x.alias("term"), ends(g, i).alias("last"))))
-    counted = rows.select(F.inline(ordered)).groupBy("term").agg(F.count("*").alias("cnt"), F.sum("last").alias("lines")).where(F.col("lines") >= least)
+    # an n-gram is no more frequent than any of its words: those below the last of the top words are in none that counts
+    counts = _counted(rows.select("w")).persist(StorageLevel.DISK_ONLY)
+    best = counts.where(F.col("lines") >= least).orderBy(F.desc("cnt")).limit(top).agg(F.count("*").alias("n"), F.min("cnt").alias("cnt")).first()
+    floor = best.cnt if best.n == top else least
+    counted = counts.where((F.col("lines") >= least) & (F.col("cnt") >= floor))
+    if longest > 1:
+        frequent = counts.where(F.col("cnt") >= floor)
+        few = [r.term for r in frequent.select("term").limit(FEW_WORDS + 1).collect()]
+        if len(few) <= FEW_WORDS:
+            # other words become null, and runs of them one
+            marked = F.transform("w", lambda x: F.when(x.isin(*few), x))
+            rows = rows.select(once(marked, lambda m: F.filter(m, lambda x, i: x.isNotNull() | F.get(m, i - 1).isNotNull())).alias("w"))
+        grams = F.flatten(F.array(*[_grams(n) for n in range(2, longest + 1)]))
+        counted = counted.unionByName(_counted(rows.select(grams.alias("w"))).where(F.col("lines") >= least))
     return counted.orderBy(F.desc("cnt"), F.desc("term")).limit(top).select("term", "cnt", term_boost(F.col("term")).alias("boost"))

@@ -4,6 +4,7 @@ import random
 import re
 import tarfile
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -332,3 +333,28 @@ def test_keyed_json_in_pieces_is_one_object(spark, monkeypatch):
     assert [r.value for r in writers.keyed_json(records.limit(0)).collect()] == ["{ }"]
     with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         writers.keyed_json(records.union(records)).collect()
+
+
+def test_keywords_equal_brute_force_from_frequent_words_or_all(spark, monkeypatch):
+    """With few frequent words n-grams are sought from these only, which drops none; ties stand at the bound."""
+    rnd = random.Random(10)
+    vocabulary = [f"w{chr(97 + i % 26)}{i}" for i in range(400)]
+    lines = [(i, None if i == 7 else " ".join(rnd.choice(vocabulary[:12] if rnd.random() < 0.8 else vocabulary) for _ in range(rnd.randrange(30)))) for i in range(300)] + [(300, "once " * 500), (301, "")]
+    table = spark.createDataFrame(lines, "line_id long, text string")
+    counts, held = Counter(), {}
+    for i, text in lines:
+        w = [x for x in (text or "").split() if x != "wb1"]
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1):
+                counts[" ".join(w[k:k + n])] += 1
+                held.setdefault(" ".join(w[k:k + n]), set()).add(i)
+    best = sorted(((c, t) for t, c in counts.items() if len(held[t]) >= 2), reverse=True)
+    sought = []
+    plain_grams = match._grams
+    monkeypatch.setattr(match, "_grams", lambda n: sought.append(n) or plain_grams(n))
+    for few in (match.FEW_WORDS, 0):
+        monkeypatch.setattr(match, "FEW_WORDS", few)
+        for top in (5, 50, 2000):
+            got = [(r.cnt, r.term) for r in match.top_keywords(table, ["wb1"], top=top).collect()]
+            assert got == best[:top]
+    assert sought == [2, 3] * 6 and best[4][0] == sorted((counts[t] for t in vocabulary if t in counts and len(held[t]) > 1), reverse=True)[4]
